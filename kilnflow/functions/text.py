@@ -57,7 +57,7 @@ def prompt_preview(text: ColumnOrName, n: int = 50) -> Column:
 def escape_markup(text: ColumnOrName) -> Column:
     """Escape text for display in a page; ``&`` goes first."""
     out = _col(text)
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (" ", "&nbsp;")):
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\u00a0", "&nbsp;")):
         out = F.replace(out, F.lit(raw), F.lit(escaped))
     return out
 
