@@ -14,7 +14,12 @@ def _col(c: ColumnOrName) -> Column:
 
 def guidance_blend(u: ColumnOrName, t: ColumnOrName, g: float = 7.5) -> Column:
     """``u + g * (t - u)`` for each element."""
-    return F.zip_with(_col(u), _col(t), lambda a, b: a + F.lit(float(g)) * (b - a))
+
+    def blend(a: Column, b: Column) -> Column:
+        a, b = a.cast("double"), b.cast("double")
+        return a + F.lit(float(g)) * (b - a)
+
+    return F.zip_with(_col(u), _col(t), blend)
 
 
 def quantize_u8(v: ColumnOrName, scale: float = 1.0) -> Column:

@@ -1,0 +1,195 @@
+"""Streams that carry state from event to event.
+
+Rows of one key are handled in order within a micro-batch, so set ``maxFilesPerTrigger`` or
+``maxBytesPerTrigger`` on the source: they bound what a busy key can bring at a time. What is
+kept between batches is small and does not grow with the events: a few numbers per session,
+or one start per component of a run. Events must reach the stream in order per key from one
+micro-batch to the next.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+COMPONENT_TIMES = (
+    "run_id long, segment long, component string, seq long, "
+    "elapsed_s double, matched boolean, percent double"
+)
+THERMAL = (
+    "session_id long, seq long, event_id long, baseline double, performance_ratio double, "
+    "is_throttled boolean, needs_break boolean, takes_break boolean, cooling_s int"
+)
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the state store these streams need."""
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return session
+
+
+class ComponentTimes(StatefulProcessor):
+    """Pairs starts and ends of one run; a reset forgets all of it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._segment = handle.getValueState("segment", "segment long")
+        self._starts = handle.getMapState("starts", "component string", "micros long")
+        self._times = handle.getMapState("times", "component string", "elapsed double")
+
+    def handleInputRows(
+        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
+    ) -> Iterator[pd.DataFrame]:
+        stored = self._segment.get()
+        segment = stored[0] if stored else 0
+        starts = {k[0]: v[0] for k, v in self._starts.iterator()}
+        times = {k[0]: v[0] for k, v in self._times.iterator()}
+        out = []
+        batch = pd.concat(list(rows)).sort_values(["micros", "seq"])
+        for component, kind, micros, seq in zip(
+            batch["component"], batch["kind"], batch["micros"], batch["seq"]
+        ):
+            if kind == "reset":
+                segment += 1
+                starts.clear()
+                times.clear()
+            elif kind == "start":
+                starts[component] = micros
+            else:
+                matched = component in starts
+                elapsed = (micros - starts[component]) / 1e6 if matched else 0.0
+                if matched:
+                    times[component] = elapsed
+                total = sum(times.values())
+                share = times.get(component, 0.0) / total * 100 if total else None
+                out.append((key[0], segment, component, seq, elapsed, matched, share))
+        self._segment.update((segment,))
+        self._starts.clear()
+        self._times.clear()
+        for component, micros in starts.items():
+            self._starts.updateValue((component,), (micros,))
+        for component, elapsed in times.items():
+            self._times.updateValue((component,), (elapsed,))
+        columns = ["run_id", "segment", "component", "seq", "elapsed_s", "matched", "percent"]
+        yield pd.DataFrame(out, columns=columns)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_component_times(events: DataFrame) -> DataFrame:
+    """Elapsed time at each end and the component's share so far, while events arrive.
+
+    Takes ``run_id, component, kind, ts, seq``.
+    """
+    slim = events.selectExpr(
+        "run_id", "component", "kind", "unix_micros(cast(ts as timestamp)) as micros", "seq"
+    )
+    return slim.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=ComponentTimes(),
+        outputStructType=COMPONENT_TIMES,
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+class Thermal(StatefulProcessor):
+    """Slow-down state and breaks of one session, one timing at a time."""
+
+    def __init__(
+        self,
+        batch_size: int | None,
+        batch_cooling_s: int,
+        cooling_s: int,
+        window: int,
+        threshold: float,
+        baseline: float | None,
+    ) -> None:
+        self.batch_size = batch_size
+        self.batch_cooling_s = batch_cooling_s
+        self.cooling_s = cooling_s
+        self.window = window
+        self.threshold = threshold
+        self.given = baseline
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState(
+            "state", "seen long, since_break long, baseline double, recent array<double>"
+        )
+
+    def handleInputRows(
+        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
+    ) -> Iterator[pd.DataFrame]:
+        stored = self._state.get()
+        seen, since, baseline, recent = stored if stored else (0, 0, self.given, [])
+        recent = list(recent)
+        out = []
+        batch = pd.concat(list(rows)).sort_values(["micros", "event_id"])
+        for elapsed, event_id in zip(batch["elapsed_s"], batch["event_id"]):
+            slow = bool(recent and baseline and max(recent) / baseline >= self.threshold)
+            full = self.batch_size is not None and since >= self.batch_size
+            if slow or full:
+                since = 0
+            cooling = self.batch_cooling_s if full else self.cooling_s if slow else 0
+            seen, since = seen + 1, since + 1
+            recent = [*recent, float(elapsed)][-self.window :]
+            if baseline is None and seen >= 3:
+                baseline = float(pd.Series(recent).median())
+            mean = sum(recent) / len(recent)
+            performance = baseline / mean if baseline is not None and mean else None
+            throttled = None if performance is None else performance < 1.0 / self.threshold
+            out.append(
+                (key[0], seen, event_id, baseline, performance, throttled, slow,
+                 slow or full, cooling)
+            )
+        self._state.update((seen, since, baseline, recent))
+        columns = [
+            "session_id", "seq", "event_id", "baseline", "performance_ratio",
+            "is_throttled", "needs_break", "takes_break", "cooling_s",
+        ]
+        yield pd.DataFrame(out, columns=columns)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_thermal(
+    log: DataFrame,
+    batch_size: int | None = 10,
+    batch_cooling_s: int = 60,
+    cooling_s: int = 30,
+    window: int = 5,
+    threshold: float = 1.5,
+    baseline: float | None = None,
+) -> DataFrame:
+    """State and breaks while timings arrive; takes ``session_id, ts, event_id, elapsed_s``."""
+    slim = log.selectExpr(
+        "session_id", "unix_micros(cast(ts as timestamp)) as micros", "event_id", "elapsed_s"
+    )
+    return slim.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=Thermal(
+            batch_size, batch_cooling_s, cooling_s, window, threshold, baseline
+        ),
+        outputStructType=THERMAL,
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+def run_available(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", sink=None
+) -> StreamingQuery:
+    """Run a stream over the files there are now, into Parquet or a ``foreachBatch`` sink."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", path)
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
