@@ -27,7 +27,8 @@ def decode_payload(payload: ColumnOrName) -> Column:
 
 
 def encode_payload(content: ColumnOrName) -> Column:
-    return F.base64(_col(content))
+    """Base64 in one line (Spark may break it into lines of 76)."""
+    return F.translate(F.base64(_col(content)), "\r\n", "")
 
 
 def image_size(content: ColumnOrName) -> Column:

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnflow.operators.ordered import Running, running
+from kilnflow.operators.ordered import (
+    CHUNK,
+    SPLIT,
+    across_chunks,
+    attach,
+    chunk_window,
+    cut,
+)
+from kilnflow.session import checkpointed
 
 
 def replay_edits(
@@ -18,28 +26,37 @@ def replay_edits(
 ) -> DataFrame:
     """Rectangles left after add, undo and reset, numbered from the bottom of the stack.
 
-    The stack is never built. With only the rows after the last reset, the height after a
-    row is the running sum of +1 and -1, lifted by how far it ever fell below 0 (undo on an
-    empty stack). An added rectangle is left iff no later row brings the height below its own.
+    The stack is never built. Among the rows after the last reset, the height after a row is
+    the running sum of +1 and -1, lifted by how far it ever fell below 0 (undo on an empty
+    stack). An added rectangle is left iff no later row brings the height below its own.
+
+    A chunk tells the others three numbers about its rows after its last reset: whether it
+    had a reset, its net change and its lowest point.
     """
     keys, order = list(keys), list(order)
-    resets = (F.col("op") == "reset").cast("int")
-    live = running(
-        log, keys, order, {"_resets": Running("sum", resets)},
-        reverse=True, rows=rows, keep_chunks=True,
-    ).where(F.col("_resets") == 0)
-    move = F.when(F.col("op") == "add", 1).when(F.col("op") == "undo", -1).otherwise(0)
-    level = running(live, keys, order, {"_level": Running("sum", move)}, keep_chunks=True)
-    lowest = running(
-        level, keys, order, {"_lowest": Running("min", F.col("_level"))}, keep_chunks=True
+    chunks = cut(log, keys, order, rows)
+    moved = _with_levels(chunks, keys, order)
+    totals = (
+        _with_levels(chunks.where(SPLIT), keys, order)
+        .groupBy(*keys, CHUNK)
+        .agg(
+            F.max("_resets").alias("_resets"),
+            F.sum("_move").alias("_net"),
+            F.min("_level").alias("_low"),
+        )
     )
-    height = lowest.withColumn("_height", F.col("_level") - F.least(F.col("_lowest"), F.lit(0)))
-    after = running(
-        height, keys, order, {"_after": Running("min", F.col("_height"))},
-        inclusive=False, reverse=True, keep_chunks=True,
+    joined = attach(moved, _stack_carries(totals, keys), [*keys, CHUNK])
+
+    base = F.coalesce("_base", F.lit(0))
+    floor = F.coalesce("_floor", F.lit(0))
+    height = base + F.col("_level") - F.least(floor, base + F.col("_lowest"))
+    live = joined.where((F.col("_resets") == 0) & ~F.coalesce("_dead", F.lit(False)))
+    later = chunk_window(keys, order, reverse=True).rowsBetween(Window.unboundedPreceding, -1)
+    after = live.withColumn("_height", height).withColumn(
+        "_below", F.least(F.min("_height").over(later), F.col("_after"))
     )
     left = (F.col("op") == "add") & (
-        F.col("_after").isNull() | (F.col("_after") >= F.col("_height"))
+        F.col("_below").isNull() | (F.col("_below") >= F.col("_height"))
     )
     return after.where(left).select(
         *keys,
@@ -52,6 +69,37 @@ def replay_edits(
     )
 
 
+def _with_levels(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Within a chunk: resets from the row on, and the level since the last reset."""
+    to_end = chunk_window(keys, order, reverse=True).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    move = F.when(F.col("op") == "add", 1).when(F.col("op") == "undo", -1).otherwise(0)
+    return (
+        chunks.withColumn("_resets", F.sum((F.col("op") == "reset").cast("int")).over(to_end))
+        .withColumn("_move", F.when(F.col("_resets") == 0, move).otherwise(0))
+        .withColumn("_level", F.sum("_move").over(so_far))
+        .withColumn("_lowest", F.min("_level").over(so_far))
+    )
+
+
+def _stack_carries(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """What a chunk must know of the others: dead or not, level and floor before it, and
+    the lowest height after it."""
+    before = across_chunks(keys).rowsBetween(Window.unboundedPreceding, -1)
+    behind = across_chunks(keys, reverse=True).rowsBetween(Window.unboundedPreceding, -1)
+    dead = totals.withColumn("_dead", F.coalesce(F.sum("_resets").over(behind), F.lit(0)) > 0)
+    counted = F.when(~F.col("_dead"), F.col("_net"))
+    lowest = F.when(~F.col("_dead"), F.col("_base") + F.col("_low"))
+    # Within a chunk the height is lowest where the level is.
+    low_height = F.greatest(F.col("_base") + F.col("_low") - F.col("_floor"), F.lit(0))
+    return (
+        dead.withColumn("_base", F.coalesce(F.sum(counted).over(before), F.lit(0)))
+        .withColumn("_floor", F.least(F.coalesce(F.min(lowest).over(before), F.lit(0)), F.lit(0)))
+        .withColumn("_after", F.min(low_height).over(behind))
+        .select(*keys, CHUNK, "_dead", "_base", "_floor", "_after")
+    )
+
+
 def _cell(value: Column, side: Column) -> Column:
     return F.floor(value / side)
 
@@ -66,6 +114,8 @@ def region_mask(
     Only the distinct coordinates are tested, once per grid in use. A cell that some region
     covers whole needs no comparison; the others compare with the distinct pieces of regions
     inside them. The points then meet the coordinates found by an equi join.
+
+    The pieces are read several times, so they are written to the checkpoint folder first.
     """
     by = list(by)
     shape = [*by, "x1", "y1", "x2", "y2"]
@@ -73,7 +123,7 @@ def region_mask(
     grid = F.when(extent > 0, F.ceil(F.log2(extent))).otherwise(F.lit(0)).cast("int")
     side = F.pow(F.lit(2.0), F.col("grid"))
     shapes = regions.select(*shape).distinct().withColumn("grid", grid)
-    pieces = (
+    pieces = checkpointed(
         shapes.withColumn(
             "cx", F.explode(F.sequence(_cell(F.col("x1"), side), _cell(F.col("x2"), side)))
         )
@@ -99,7 +149,7 @@ def region_mask(
     covered = pieces.where(whole).select(*cell).distinct()
     partial = pieces.where(~whole).join(covered, cell, "left_anti")
 
-    grids = shapes.agg(F.collect_set("grid")).scalar()
+    grids = pieces.agg(F.collect_set("grid")).scalar()
     spots = (
         points.select(*by, "x", "y")
         .distinct()

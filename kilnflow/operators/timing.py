@@ -421,7 +421,7 @@ def idle_sessions(
     idle = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(
         F.col("_seen").cast("timestamp")
     )
-    opens = F.col("_seen").isNull() | F.coalesce(idle >= F.col(gap_s) * 1_000_000, F.lit(False))
+    opens = F.col("_seen").isNull() | F.coalesce(idle >= F.col(gap_s).cast("long") * 1_000_000, F.lit(False))
     numbered = running(
         seen, keys, order, {"session_no": Running("sum", opens.cast("int"))}
     )

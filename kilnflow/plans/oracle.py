@@ -368,9 +368,9 @@ SQL["P8_throughput"] = _with("step_log") + """
                case when l_partkey % 9 = 0 then 0.0e0 else elapsed_s end as elapsed_s,
                case when l_partkey % 8 = 0 then 0.0e0 else steps end as steps from step_log)
     select run_id, item, l_partkey, l_suppkey,
-           case when elapsed_s > 0 then round(steps / elapsed_s, 6) else 0.0e0 end as steps_per_s,
-           case when steps <> 0 then round(elapsed_s / steps, 6) end as s_per_step,
-           case when steps <> 0 then round(elapsed_s / steps * 1000, 6) end as ms_per_step
+           case when elapsed_s > 0 then round(steps / elapsed_s, 10) else 0.0e0 end as steps_per_s,
+           case when steps <> 0 then round(elapsed_s / steps, 10) end as s_per_step,
+           case when steps <> 0 then round(elapsed_s / steps * 1000, 10) end as ms_per_step
     from log"""
 
 SQL["P9_progress_eta"] = _with("step_log") + f"""
@@ -520,7 +520,7 @@ SQL["A2_stage_breakdown"] = _with("latest_times") + f"""
     left join totals using (run_id)"""
 
 SQL["A3_timing_stats"] = _with("plan") + """
-    select t.session_id, count(*) as generations, round(avg(elapsed_s), 6) as avg_s,
+    select t.session_id, count(*) as generations, round(avg(elapsed_s), 8) as avg_s,
            round(min(elapsed_s), 6) as min_s, round(max(elapsed_s), 6) as max_s,
            round(any_value(b), 6) as baseline,
            round(arg_max(case when b is not null then ratio end, t.seq), 6) as current_ratio,
@@ -547,7 +547,7 @@ SQL["A5_session_efficiency"] = _with("step_log") + """
 
 SQL["A6_batch_summary"] = _with("step_log") + """
     select run_id, count(*) as items, round(sum(elapsed_s), 6) as total_s,
-           round(sum(elapsed_s) / count(*), 6) as mean_s from step_log group by run_id"""
+           round(sum(elapsed_s) / count(*), 8) as mean_s from step_log group by run_id"""
 
 SQL["A7_phase_profile"] = _with("step_log") + """
     , phased as (
@@ -807,7 +807,7 @@ SQL["T6_idle_sessions"] = IDLE + f"""
                from idle)
     , numbered as (
         select *, sum(case when before is null
-                             or epoch_us(ts) - epoch_us(before) >= gap_s * 1000000
+                             or epoch_us(ts) - epoch_us(before) >= cast(gap_s as bigint) * 1000000
                            then 1 else 0 end)
                   over (partition by user_id order by ts, event_id rows unbounded preceding)
                   as session_no from seen)
