@@ -47,7 +47,7 @@ def number_items(
     """1-based position and the total of each group."""
     keys = list(keys)
     numbered = number_rows(df, keys, order, "position", rows, keep_chunks=True)
-    inside = Window.partitionBy(*keys, CHUNK)
+    inside = Window.partitionBy(*keys, SPLIT, CHUNK)
     out = numbered.withColumn("total", F.max("position").over(inside))
     if keys:
         totals = df.transform(_totals_of_split, keys, order, rows)

@@ -16,10 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnflow.operators.ordered import Running, number_rows, running
+from kilnflow.operators.ordered import Running, chunk_rows, number_rows, running
 from kilnflow.session import checkpointed
 
 COUNTED = r"^(.+)_([1-9][0-9]*)$"
@@ -75,7 +75,7 @@ def unique_names(
     """Add ``name_index`` and ``name`` to each request.
 
     ``existing`` has the stems of files already there in a column ``name``. The requests
-    move twice, by (slug, chunk); a slug held by a third of them is spread over its chunks.
+    move twice, by slug and chunk; a slug held by a third of them is spread over its chunks.
     """
     order = list(order)
     spark = requests.sparkSession
@@ -92,7 +92,7 @@ def unique_names(
         files.select(_stem(F.col("name")), _count(F.col("name")))
     ).where(F.col("_slug").isNotNull() & F.col("j").isNotNull())
     by_file = by_file.join(slugs.select("_slug"), "_slug", "left_semi").distinct()
-    rivals = (
+    rivals = checkpointed(
         slugs.select(_stem(F.col("_slug")).alias("_stem"), _count(F.col("_slug")).alias("j"), "first")
         .where(F.col("_stem").isNotNull() & F.col("j").isNotNull())
         .join(slugs.select(F.col("_slug").alias("_stem"), "n"), "_stem")
@@ -100,29 +100,9 @@ def unique_names(
     )
     skips = by_file
     if not rivals.isEmpty():
-        skips = _contested(asked, by_file, checkpointed(rivals), slugs, order, rows)
-
-    # The k-th request of a slug takes the k-th index not skipped. A skipped index j with m
-    # skipped ones below it shifts every request from number j - m on by one.
-    shifts = number_rows(skips, ["_slug"], ["j"], "_m", rows).select(
-        "_slug", (F.col("j") - F.col("_m") + 1).alias("_at"), F.lit(0).alias("_kind"), "j"
-    )
+        skips = _contested(asked, by_file, rivals, slugs, order, rows)
     numbered = number_rows(asked, ["_slug"], order, "_k", rows)
-    turns = numbered.select(
-        "_slug",
-        (F.col("_k") - 1).alias("_at"),
-        F.lit(1).alias("_kind"),
-        F.lit(0).cast("long").alias("j"),
-        F.struct(*requests.columns).alias("_row"),
-    )
-    merged = turns.unionByName(shifts, allowMissingColumns=True)
-    moved = running(
-        merged,
-        ["_slug"],
-        ["_at", "_kind", "j"],
-        {"_shift": Running("sum", (F.col("_kind") == 0).cast("long"))},
-        rows=rows,
-    ).where(F.col("_kind") == 1)
+    moved = _shifted(numbered, skips, slugs, requests.columns, rows or chunk_rows(spark))
     index = F.col("_at") + F.col("_shift")
     counted = F.concat("_slug", F.lit("_"), index.cast("string"))
     return moved.select(
@@ -134,6 +114,46 @@ def unique_names(
     )
 
 
+def _shifted(
+    numbered: DataFrame, skips: DataFrame, slugs: DataFrame, columns: list[str], size: int
+) -> DataFrame:
+    """Each request with ``_at``, its number from 0, and ``_shift``, the skips before it.
+
+    A skipped index j with m skipped ones below it shifts every request from number j - m on
+    by one. Numbers are dense, so request k of a slug belongs to block k div ``size``. Every
+    block gets one row with the shifts of the blocks before it, every skip a row with 1; a
+    running sum within the block does the rest.
+    """
+    ranked = number_rows(skips, ["_slug"], ["j"], "_m")
+    at = (F.col("j") - F.col("_m") + 1).alias("_at")
+    shifts = ranked.select("_slug", at).groupBy("_slug", "_at").agg(F.count(F.lit(1)).alias("_by"))
+    blocked = shifts.withColumn("_block", F.floor(F.col("_at") / size))
+    blocks = (
+        slugs.join(shifts.select("_slug").distinct(), "_slug", "left_semi")
+        .select("_slug", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size))).alias("_block"))
+        .join(blocked.groupBy("_slug", "_block").agg(F.sum("_by").alias("_in")), ["_slug", "_block"], "left")
+    )
+    before = Window.partitionBy("_slug").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    opening = blocks.select(
+        "_slug", "_block", F.lit(-1).cast("long").alias("_at"),
+        F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_by"),
+    )
+    turns = numbered.select(
+        "_slug",
+        F.floor((F.col("_k") - 1) / size).alias("_block"),
+        (F.col("_k") - 1).alias("_at"),
+        F.lit(0).cast("long").alias("_by"),
+        F.struct(*columns).alias("_row"),
+    )
+    merged = turns.unionByName(
+        opening.unionByName(blocked.select(*opening.columns)), allowMissingColumns=True
+    )
+    in_block = Window.partitionBy("_slug", "_block").orderBy(
+        "_at", F.col("_row").isNotNull()
+    ).rowsBetween(Window.unboundedPreceding, 0)
+    return merged.withColumn("_shift", F.sum("_by").over(in_block)).where(F.col("_row").isNotNull())
+
+
 def _contested(
     asked: DataFrame,
     by_file: DataFrame,

@@ -11,10 +11,13 @@ key and order columns is a multiple of ``rows``. So
 * every branch of a plan and every retry of a task cuts at the same rows;
 * a chunk holds about ``rows`` rows whatever the distribution of keys or times, and
   equal timestamps are parted by the tie-break column;
-* a table of N rows has about N / ``rows`` cut points in all. Cut points and carried totals
-  are the only data broadcast, and both have at most one entry per chunk of a key with
-  cut points: for 10**12 rows and the default, a million entries of some 50 bytes. Raise
-  ``spark.kilnflow.rowsPerChunk`` with the table to hold that number down.
+* a table of N rows has about N / ``rows`` cut points. Should that pass the bound of
+  ``spark.kilnflow.maxCuts``, half of them are dropped (those whose hash is an odd
+  multiple), then half of the rest, as often as needed. The query counts them itself
+  before it broadcasts them.
+
+Cut points and carried totals are the only data broadcast. Both have at most one entry per
+chunk of a key with cut points, so at most twice the bound, whatever the table's size.
 
 The order columns must identify a row within its key.
 """
@@ -34,6 +37,8 @@ HELPERS = (CHUNK, SPLIT)
 
 ROWS_CONF = "spark.kilnflow.rowsPerChunk"
 DEFAULT_ROWS = 1_000_000
+CUTS_CONF = "spark.kilnflow.maxCuts"
+DEFAULT_CUTS = 500_000
 
 
 def chunk_rows(spark: SparkSession) -> int:
@@ -41,6 +46,11 @@ def chunk_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_CONF, str(DEFAULT_ROWS)))
 
 
+def max_cuts(spark: SparkSession) -> int:
+    """Cut points broadcast at most."""
+    return int(spark.conf.get(CUTS_CONF, str(DEFAULT_CUTS)))
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -74,23 +84,38 @@ def _cuts_up_to(cuts: Column, tick: Column) -> Column:
     return F.aggregate(rounds, whole, halve, lambda span: span["lo"])
 
 
+def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """Order values at which chunks open, as ``_tick``, no more of them than the bound."""
+    digest = F.xxhash64(*keys, *order).bitwiseAND(F.lit(2**63 - 1))
+    multiple = F.floor(digest / F.lit(rows)).cast("long")
+    # How often the multiple can be halved.
+    rank = F.bit_count(multiple.bitwiseAND(-multiple) - 1)
+    openers = (
+        df.where(digest % F.lit(rows) == 0)
+        .select(*keys, F.struct(*order).alias("_tick"), rank.alias("_rank"))
+        .groupBy(*keys, "_tick")
+        .agg(F.max("_rank").alias("_rank"))
+    )
+    excess = F.count("_rank") / F.lit(float(max_cuts(df.sparkSession)))
+    halvings = F.when(excess <= 1, 0).otherwise(F.ceil(F.log2(excess)))
+    return openers.where(F.col("_rank") >= openers.agg(halvings).scalar())
+
+
 def cut(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None
 ) -> DataFrame:
     """Add ``_chunk`` (0, 1, ... in order within a key) and ``_split`` (the key has cuts)."""
     if CHUNK in df.columns:
         return df
-    rows = rows or chunk_rows(df.sparkSession)
-    tick = F.struct(*order)
-    opens = F.pmod(F.xxhash64(*keys, *order), F.lit(rows).cast("long")) == 0
-    cuts = F.sort_array(F.collect_set(tick)).alias("_cuts")
-    openers = df.where(opens)
+    keys, order = list(keys), list(order)
+    points = _cut_points(df, keys, order, rows or chunk_rows(df.sparkSession))
+    cuts = F.sort_array(F.collect_list("_tick")).alias("_cuts")
     if keys:
-        marked = attach(df, openers.groupBy(*keys).agg(cuts), keys)
+        marked = attach(df, points.groupBy(*keys).agg(cuts), keys)
     else:
-        marked = df.withColumn("_cuts", openers.agg(cuts).scalar())
+        marked = df.withColumn("_cuts", points.agg(cuts).scalar())
     chunk = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-        _cuts_up_to(F.col("_cuts"), tick)
+        _cuts_up_to(F.col("_cuts"), F.struct(*order))
     )
     return marked.withColumn(CHUNK, chunk).withColumn(
         SPLIT, F.col("_cuts").isNotNull()
@@ -100,9 +125,13 @@ def cut(
 def chunk_window(
     keys: Sequence[str], order: Sequence[str], reverse: bool = False
 ) -> WindowSpec:
-    """The window of one chunk; every step of a scan uses it, so rows move once."""
+    """The window of one chunk; every step of a scan uses it, so rows move once.
+
+    ``_split`` follows from the key. It is named among the partition columns so that Spark
+    can push a filter on it below the window, and small keys stay out of the carried totals.
+    """
     by = [F.desc(c) if reverse else F.asc(c) for c in order]
-    return Window.partitionBy(*keys, CHUNK).orderBy(*by)
+    return Window.partitionBy(*keys, SPLIT, CHUNK).orderBy(*by)
 
 
 def across_chunks(keys: Sequence[str], reverse: bool = False) -> WindowSpec:

@@ -655,6 +655,33 @@ SQL["W7_unique_names"] = _with("slugs") + f"""
                 else concat(slug, '_', cast(name_index as varchar), '.png') end as name
     from numbered"""
 
+SQL["W7_unique_names_contested"] = """
+    with recursive asked as (
+        select p_partkey as prompt_id, regexp_extract(p_name, '^[a-z]+', 0) as family,
+               concat(regexp_extract(p_name, '^[a-z]+', 0),
+                      case when p_partkey % 3 = 0
+                           then concat('_', cast(p_partkey % 40 + 1 as varchar)) else '' end)
+                   as slug,
+               row_number() over (partition by regexp_extract(p_name, '^[a-z]+', 0)
+                                  order by p_partkey) as step
+        from part),
+    named as (
+        select family, step, prompt_id, slug, cast(0 as bigint) as name_index, [slug] as taken
+        from asked where step = 1
+        union all
+        select family, step, prompt_id, slug, i,
+               list_append(taken, case when i = 0 then slug
+                                       else concat(slug, '_', cast(i as varchar)) end)
+        from (select a.family, a.step, a.prompt_id, a.slug, n.taken,
+                     list_filter(range(0, len(n.taken) + 1), lambda i: not list_contains(n.taken,
+                         case when i = 0 then a.slug
+                              else concat(a.slug, '_', cast(i as varchar)) end))[1] as i
+              from named n join asked a on a.family = n.family and a.step = n.step + 1))
+    select prompt_id, slug, name_index,
+           case when name_index = 0 then concat(slug, '.png')
+                else concat(slug, '_', cast(name_index as varchar), '.png') end as name
+    from named"""
+
 SQL["W8_random_pick"] = _with("prompts") + """
     select mode, prompt_id, text from (
         select *, row_number() over (partition by mode
