@@ -12,9 +12,8 @@ key and order columns is a multiple of ``rows``. So
 * a chunk holds about ``rows`` rows whatever the distribution of keys or times, and
   equal timestamps are parted by the tie-break column;
 * a table of N rows has about N / ``rows`` cut points. Should that pass the bound of
-  ``spark.kilnflow.maxCuts``, half of them are dropped (those whose hash is an odd
-  multiple), then half of the rest, as often as needed. The query counts them itself
-  before it broadcasts them.
+  ``spark.kilnflow.maxCuts``, half of them are dropped (by a second hash), then half
+  of the rest, as often as needed. The query counts them itself before it broadcasts them.
 
 Cut points and carried totals are the only data broadcast. Both have at most one entry per
 chunk of a key with cut points, so at most twice the bound, whatever the table's size.
@@ -86,12 +85,12 @@ def _cuts_up_to(cuts: Column, tick: Column) -> Column:
 
 def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
     """Order values at which chunks open, as ``_tick``, no more of them than the bound."""
-    digest = F.xxhash64(*keys, *order).bitwiseAND(F.lit(2**63 - 1))
-    multiple = F.floor(digest / F.lit(rows)).cast("long")
-    # How often the multiple can be halved.
-    rank = F.bit_count(multiple.bitwiseAND(-multiple) - 1)
+    opens = F.pmod(F.xxhash64(*keys, *order), F.lit(rows)) == 0
+    # Another hash ranks the cut points: rank 1 and up half of them, 2 and up a quarter, ...
+    lots = F.xxhash64(F.lit("rank"), *keys, *order).bitwiseAND(F.lit(2**63 - 1))
+    rank = F.bit_count(lots.bitwiseAND(-lots) - 1)
     openers = (
-        df.where(digest % F.lit(rows) == 0)
+        df.where(opens)
         .select(*keys, F.struct(*order).alias("_tick"), rank.alias("_rank"))
         .groupBy(*keys, "_tick")
         .agg(F.max("_rank").alias("_rank"))
