@@ -87,9 +87,19 @@ PROGRESSIVE_STEPS = tuple(range(5, 51, 5))
 LONG_STEPS = tuple(range(5, 101, 5))
 QUALITY_STEPS = (10, 20, 30)
 
-# White space as a text strip or split sees it (a character-class body that
-# Java and RE2 both read).
-SPACE = (
-    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# White space as a text strip or split sees it, as ranges of code points.
+SPACE_RANGES = (
+    (0x09, 0x0D),
+    (0x1C, 0x20),
+    (0x85, 0x85),
+    (0xA0, 0xA0),
+    (0x1680, 0x1680),
+    (0x2000, 0x200A),
+    (0x2028, 0x2029),
+    (0x202F, 0x202F),
+    (0x205F, 0x205F),
+    (0x3000, 0x3000),
 )
+# The same as a set of characters, and as the body of a character class (Java and RE2).
+SPACE_CHARS = "".join(chr(c) for first, last in SPACE_RANGES for c in range(first, last + 1))
+SPACE = "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in SPACE_RANGES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kilnflow.constants import SPACE
+from kilnflow.constants import SPACE, SPACE_CHARS
 
 ColumnOrName = Column | str
 
@@ -16,12 +16,12 @@ def _col(c: ColumnOrName) -> Column:
 
 def strip(text: ColumnOrName) -> Column:
     """Remove white space of any kind from both ends (``trim`` knows the space only)."""
-    return F.regexp_replace(_col(text), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(_col(text), F.lit(SPACE_CHARS))
 
 
 def slugify(text: ColumnOrName, n: int = 50) -> Column:
     """File-name stem: cut to ``n`` code points, then keep letters, digits, `` -_``."""
-    kept = F.regexp_replace(F.substring(_col(text), 1, n), r"[^\p{L}\p{N} _-]", "")
+    kept = F.regexp_replace(F.substring(_col(text), 1, n), r"[^\p{L}\p{N} _-]+", "")
     stem = F.replace(F.trim(kept), F.lit(" "), F.lit("_"))
     return F.coalesce(F.nullif(stem, F.lit("")), F.lit("generated_image"))
 
@@ -29,24 +29,20 @@ def slugify(text: ColumnOrName, n: int = 50) -> Column:
 def session_key(name: ColumnOrName, day: ColumnOrName | None = None) -> Column:
     """Folder name of a session, with ``_yyyyMMdd`` when a day is given."""
     given = F.coalesce(F.nullif(_col(name), F.lit("")), F.lit("generation"))
-    kept = F.regexp_replace(given, rf"[^\p{{L}}\p{{N}}_{SPACE}-]", "")
+    kept = F.regexp_replace(given, rf"[^\p{{L}}\p{{N}}_{SPACE}-]+", "")
     key = F.replace(strip(kept), F.lit(" "), F.lit("_"))
     return key if day is None else F.concat(key, F.lit("_"), F.date_format(_col(day), "yyyyMMdd"))
 
 
 def all_steps_key(prompt: ColumnOrName, day: ColumnOrName) -> Column:
     """Session name of an all-steps run: first word in lower case, then the day."""
-    first = F.element_at(words(prompt), 1)
+    first = F.regexp_extract(_col(prompt), f"^[{SPACE}]*([^{SPACE}]+)", 1)
     return F.concat(F.lower(first), F.lit("_allsteps_"), F.date_format(_col(day), "yyyyMMdd"))
 
 
-def words(text: ColumnOrName) -> Column:
-    """Runs of non-space characters."""
-    return F.filter(F.split(_col(text), f"[{SPACE}]+"), lambda w: w != "")
-
-
 def token_count(text: ColumnOrName) -> Column:
-    return F.size(words(text))
+    """Runs of characters other than white space."""
+    return F.regexp_count(_col(text), F.lit(f"[^{SPACE}]+"))
 
 
 def prompt_preview(text: ColumnOrName, n: int = 50) -> Column:

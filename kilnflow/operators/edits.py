@@ -15,7 +15,7 @@ from kilnflow.operators.ordered import (
     chunk_window,
     cut,
 )
-from kilnflow.session import checkpointed
+from kilnflow.session import staged
 
 
 def replay_edits(
@@ -115,7 +115,7 @@ def region_mask(
     covers whole needs no comparison; the others compare with the distinct pieces of regions
     inside them. The points then meet the coordinates found by an equi join.
 
-    The pieces are read several times, so they are written to the checkpoint folder first.
+    The pieces are read several times, so they are written to the shared folder first.
     """
     by = list(by)
     shape = [*by, "x1", "y1", "x2", "y2"]
@@ -123,7 +123,7 @@ def region_mask(
     grid = F.when(extent > 0, F.ceil(F.log2(extent))).otherwise(F.lit(0)).cast("int")
     side = F.pow(F.lit(2.0), F.col("grid"))
     shapes = regions.select(*shape).distinct().withColumn("grid", grid)
-    pieces = checkpointed(
+    pieces = staged(
         shapes.withColumn(
             "cx", F.explode(F.sequence(_cell(F.col("x1"), side), _cell(F.col("x2"), side)))
         )

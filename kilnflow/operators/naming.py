@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnflow.operators.ordered import Running, chunk_rows, number_rows, running
-from kilnflow.session import checkpointed
+from kilnflow.session import staged
 
 COUNTED = r"^(.+)_([1-9][0-9]*)$"
 SUFFIXES = r"((_[1-9][0-9]*)*)$"
@@ -75,13 +75,15 @@ def unique_names(
     """Add ``name_index`` and ``name`` to each request.
 
     ``existing`` has the stems of files already there in a column ``name``. The requests
-    move twice, by slug and chunk; a slug held by a third of them is spread over its chunks.
+    are read several times, so they are written to the shared folder first: hand in names and
+    order, not texts. They move twice, by slug and chunk; a slug held by a third of them is
+    spread over its chunks.
     """
     order = list(order)
     spark = requests.sparkSession
     if existing is None:
         existing = spark.createDataFrame([], "name string")
-    asked = requests.withColumn("_slug", F.col(slug))
+    asked = staged(requests.withColumn("_slug", F.col(slug)), "requests")
     slugs = asked.groupBy("_slug").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")
     )
@@ -92,7 +94,7 @@ def unique_names(
         files.select(_stem(F.col("name")), _count(F.col("name")))
     ).where(F.col("_slug").isNotNull() & F.col("j").isNotNull())
     by_file = by_file.join(slugs.select("_slug"), "_slug", "left_semi").distinct()
-    rivals = checkpointed(
+    rivals = staged(
         slugs.select(_stem(F.col("_slug")).alias("_stem"), _count(F.col("_slug")).alias("j"), "first")
         .where(F.col("_stem").isNotNull() & F.col("j").isNotNull())
         .join(slugs.select(F.col("_slug").alias("_stem"), "n"), "_stem")
@@ -184,7 +186,7 @@ def _contested(
     fixed = by_file.join(rivals.select("_slug").distinct(), "_slug", "left_semi").select(
         "_slug", "j", F.lit(True).alias("always"), F.lit(None).cast("long").alias("before")
     )
-    contested = checkpointed(
+    contested = staged(
         before.unionByName(fixed)
         .groupBy("_slug", "j")
         .agg(F.bool_or("always").alias("always"), F.min("before").alias("before"))
@@ -208,7 +210,7 @@ def _contested(
             level = level.unionByName(own).groupBy("_slug", "j", "n").agg(
                 F.bool_or("always").alias("always"), F.min("before").alias("before")
             )
-        done = checkpointed(
+        done = staged(
             level.select(
                 F.col("_slug").alias("slug"), "j", "always",
                 F.coalesce("before", F.lit(0)).alias("before"), "n",

@@ -18,7 +18,8 @@ key and order columns is a multiple of ``rows``. So
 Cut points and carried totals are the only data broadcast. Both have at most one entry per
 chunk of a key with cut points, so at most twice the bound, whatever the table's size.
 
-The order columns must identify a row within its key.
+The order columns must identify a row within its key, and the input must give the same rows
+each time it is read.
 """
 
 from __future__ import annotations

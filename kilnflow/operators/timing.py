@@ -281,9 +281,9 @@ def latest_per_component(
     times: DataFrame, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("seq",)
 ) -> DataFrame:
     """The last elapsed time of each component of a run."""
-    return times.groupBy(*keys, "component").agg(
-        F.max_by("elapsed_s", F.struct(*order)).alias("elapsed_s")
-    )
+    # A single order column stays a plain number, which lets Spark aggregate by hash.
+    newest = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return times.groupBy(*keys, "component").agg(F.max_by("elapsed_s", newest).alias("elapsed_s"))
 
 
 def component_share(

@@ -708,9 +708,13 @@ def v3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events table as a stream of files, in micro-batches of bounded size."""
+    return (
+        spark.readStream.schema(table(spark, sf, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxBytesPerTrigger", "1g")
+        .parquet(sf)
+    )
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> str:

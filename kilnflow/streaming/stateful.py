@@ -1,10 +1,11 @@
 """Streams that carry state from event to event.
 
-Rows of one key are handled in order within a micro-batch, so set ``maxFilesPerTrigger`` or
-``maxBytesPerTrigger`` on the source: they bound what a busy key can bring at a time. What is
+Rows of one key are handled in order within a micro-batch, so set ``maxBytesPerTrigger`` or
+``maxFilesPerTrigger`` on the source: they bound what a busy key can bring at a time. What is
 kept between batches is small and does not grow with the events: a few numbers per session,
 or one start per component of a run. Events must reach the stream in order per key from one
-micro-batch to the next.
+micro-batch to the next. A backlog is better worked off by the table twins in
+``kilnflow.operators.timing``, which split a busy key over tasks.
 """
 
 from __future__ import annotations
