@@ -712,7 +712,7 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return (
         spark.readStream.schema(table(spark, sf, "events").schema)
         .option("pathGlobFilter", "events.parquet")
-        .option("maxBytesPerTrigger", "1g")
+        .option("maxBytesPerTrigger", 1 << 30)
         .parquet(sf)
     )
 
