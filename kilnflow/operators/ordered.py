@@ -275,33 +275,40 @@ def first_rows(
     )
 
 
-def tails_before(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, name: str
+def chunk_edges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, first: int
 ) -> DataFrame:
-    """For each chunk of a split key: the last ``n`` values before it, and how many rows.
+    """For each chunk of a split key: rows before it, the last ``n`` values before it, and
+    the first ``first`` values of the key, as ``_before``, ``_tail`` and ``_head``.
 
-    Takes the output of :func:`cut`. Each chunk contributes ``n`` rows at most, kept before
-    the shuffle; a chunk is never empty, so ``n`` chunks back always suffice.
+    Takes the output of :func:`cut`. A chunk hands over no more than its own first and last
+    values; only chunk 0 can be empty, so ``n`` chunks back and ``first`` + 1 chunks from the
+    start always suffice.
     """
-    split = df.where(SPLIT).select(*keys, CHUNK, *order, F.col(value).alias("_v"))
-    ranked = Window.partitionBy(*keys, CHUNK).orderBy(*[F.desc(c) for c in order])
-    ends = (
-        split.withColumn("_back", F.row_number().over(ranked))
-        .where(F.col("_back") <= n)
-        .groupBy(*keys, CHUNK)
-        .agg(F.sort_array(F.collect_list(F.struct(-F.col("_back"), "_v")))["_v"].alias("_end"))
+    keys, order = list(keys), list(order)
+    ranked = df.where(SPLIT).select(
+        *keys,
+        SPLIT,
+        CHUNK,
+        F.col(value).alias("_v"),
+        F.row_number().over(chunk_window(keys, order)).alias("_rank"),
+        F.row_number().over(chunk_window(keys, order, reverse=True)).alias("_back"),
+    )
+    ends = F.when(F.col("_back") <= n, F.struct((-F.col("_back")).alias("at"), "_v"))
+    starts = F.when(F.col("_rank") <= first, F.struct(F.col("_rank").alias("at"), "_v"))
+    chunks = ranked.groupBy(*keys, SPLIT, CHUNK).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sort_array(F.collect_list(ends))["_v"].alias("_end"),
+        F.sort_array(F.collect_list(starts))["_v"].alias("_start"),
     )
-    counts = split.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    both = attach(counts, ends, [*keys, CHUNK])
-    order_of_chunks = across_chunks(keys)
-    return both.select(
+    along = across_chunks(keys)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    opening = F.collect_list(F.when(F.col(CHUNK) <= first, F.col("_start"))).over(whole)
+    return chunks.select(
         *keys,
         CHUNK,
-        F.coalesce(
-            F.sum("_n").over(order_of_chunks.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias(f"{name}_count"),
-        last_n(
-            F.flatten(F.collect_list("_end").over(order_of_chunks.rowsBetween(-n, -1))), n
-        ).alias(name),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        last_n(F.flatten(F.collect_list("_end").over(along.rowsBetween(-n, -1))), n).alias("_tail"),
+        F.slice(F.flatten(opening), 1, first).alias("_head"),
     )

@@ -16,17 +16,15 @@ from kilnflow.functions.rates import ratio
 from kilnflow.operators.ordered import (
     CHUNK,
     HELPERS,
-    SPLIT,
     Running,
-    across_chunks,
     attach,
+    chunk_edges,
     chunk_window,
     cut,
     first_rows,
     last_n,
     previous,
     running,
-    tails_before,
 )
 
 SESSION = ("session_id",)
@@ -82,7 +80,7 @@ def _item_state(
         F.max(elapsed).over(ahead).alias("_past_max"),
         *[F.nth_value(elapsed, i).over(so_far).alias(f"_first{i}") for i in (1, 2, 3)],
     )
-    out = attach(out, tails_before(log, keys, order, elapsed, window, "_tail"), [*keys, CHUNK])
+    out = attach(out, chunk_edges(log, keys, order, elapsed, window, 3), [*keys, CHUNK])
 
     # Rows near the start of a later chunk look back into the chunks before it.
     reaches_back = F.col("_tail").isNotNull() & (F.col("_rank") <= window)
@@ -91,7 +89,7 @@ def _item_state(
     mean = F.aggregate(recent, F.lit(0.0), lambda a, b: a + b) / F.size(recent)
     out = out.withColumns(
         {
-            "seq": F.col("_rank") + F.coalesce(F.col("_tail_count"), F.lit(0)),
+            "seq": F.col("_rank") + F.coalesce(F.col("_before"), F.lit(0)),
             "recent_times": F.when(reaches_back, recent).otherwise(F.col("_recent")),
             "recent_mean": F.when(reaches_back, mean).otherwise(F.col("_mean")),
             "recent_max": F.when(reaches_back, F.array_max(recent)).otherwise(F.col("_max")),
@@ -102,8 +100,6 @@ def _item_state(
     if baseline is None:
         held = F.array(*[f"_first{i}" for i in range(4 - min(window, 3), 4)])
         inside = F.when(F.col("_first3").isNotNull(), median(held))
-        split_heads = first_rows(log.where(SPLIT), keys, order, elapsed, 3, "_head")
-        out = attach(out, split_heads, keys)
         known = F.when(F.col("_head").isNull(), inside).when(
             F.size("_head") == 3, median(last_n(F.col("_head"), min(window, 3)))
         )

@@ -717,17 +717,27 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> str:
+def _run(
+    spark: SparkSession,
+    sf: str,
+    make: Callable[[DataFrame], DataFrame],
+    name: str,
+    mode: str = "append",
+) -> str:
+    """Run a stream over the events there are; gives the folder with its output."""
+    session = stateful.stateful_session(spark)
     path = scratch_path(spark, name)
     sink = None if mode == "append" else progress.parquet_sink(path)
+    stream = make(_event_stream(session, sf))
     stateful.run_available(stream, path, scratch_path(spark, f"{name}-state"), mode, sink)
     return path
 
 
 @query("T1_latest_state")
 def t1(spark: SparkSession, sf: str) -> DataFrame:
-    stream = progress.latest_state(feeds.as_state_events(_event_stream(spark, sf)))
-    path = _run(spark, stream, "latest", "update")
+    path = _run(
+        spark, sf, lambda e: progress.latest_state(feeds.as_state_events(e)), "latest", "update"
+    )
     return progress.read_upserts(spark, path, ["run_id"]).select(
         "run_id", "seq", "component", "progress", "total", "message", r6("time_per_step")
     )
@@ -735,18 +745,21 @@ def t1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T2_stream_progress")
 def t2(spark: SparkSession, sf: str) -> DataFrame:
-    stream = progress.stream_progress(feeds.as_state_events(_event_stream(spark, sf)))
-    shown = stream.select(
-        "run_id", "seq", "stage_index", r6("percent"), r6("remaining_s"), "remaining"
-    )
-    return spark.read.parquet(_run(spark, shown, "progress"))
+    def shown(events: DataFrame) -> DataFrame:
+        return progress.stream_progress(feeds.as_state_events(events)).select(
+            "run_id", "seq", "stage_index", r6("percent"), r6("remaining_s"), "remaining"
+        )
+
+    return spark.read.parquet(_run(spark, sf, shown, "progress"))
 
 
 @query("T3_stream_component_times")
 def t3(spark: SparkSession, sf: str) -> DataFrame:
-    session = stateful.stateful_session(spark)
-    events = feeds.as_component_events(_event_stream(session, sf))
-    path = _run(session, stateful.stream_component_times(events), "components")
+    path = _run(
+        spark, sf,
+        lambda e: stateful.stream_component_times(feeds.as_component_events(e)),
+        "components",
+    )
     return spark.read.parquet(path).select(
         "run_id", "segment", "component", "seq", r6("elapsed_s"), "matched"
     )
@@ -754,9 +767,9 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T4_stream_thermal")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
-    session = stateful.stateful_session(spark)
-    log = feeds.as_timing_log(_event_stream(session, sf))
-    path = _run(session, stateful.stream_thermal(log), "thermal")
+    path = _run(
+        spark, sf, lambda e: stateful.stream_thermal(feeds.as_timing_log(e)), "thermal"
+    )
     return spark.read.parquet(path).select(
         "session_id", "event_id", "seq", r6("baseline"), r6("performance_ratio"),
         "is_throttled", "needs_break", "takes_break", "cooling_s",
@@ -765,8 +778,10 @@ def t4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T5_run_status")
 def t5(spark: SparkSession, sf: str) -> DataFrame:
-    stream = progress.run_status(feeds.as_state_events(_event_stream(spark, sf)))
-    return progress.read_upserts(spark, _run(spark, stream, "status", "update"), ["run_id"])
+    path = _run(
+        spark, sf, lambda e: progress.run_status(feeds.as_state_events(e)), "status", "update"
+    )
+    return progress.read_upserts(spark, path, ["run_id"])
 
 
 @query("T6_idle_sessions")
@@ -778,8 +793,9 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T6_open_sessions_stream")
 def t6_open(spark: SparkSession, sf: str) -> DataFrame:
-    stream = progress.open_sessions(feeds.as_idle_events(_event_stream(spark, sf)))
-    path = _run(spark, stream, "open", "update")
+    path = _run(
+        spark, sf, lambda e: progress.open_sessions(feeds.as_idle_events(e)), "open", "update"
+    )
     return progress.read_upserts(spark, path, ["user_id"]).select(
         "user_id", day_time("started"), day_time("last_seen"), "events"
     )

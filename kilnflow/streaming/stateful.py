@@ -35,6 +35,11 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(name, spark.conf.get(name))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        # Each shuffle partition opens a state store; a single machine needs few.
+        few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+        session.conf.set("spark.sql.shuffle.partitions", few)
     return session
 
 
