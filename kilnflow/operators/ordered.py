@@ -253,7 +253,7 @@ def previous(
     return out if keep_chunks else out.drop(*HELPERS)
 
 
-def last_n(values: Column, n: int) -> Column:
+def last_n(values: Column, n: int | Column) -> Column:
     """The last ``n`` entries of an array (all of it when shorter)."""
     return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
 

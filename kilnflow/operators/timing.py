@@ -31,13 +31,15 @@ SESSION = ("session_id",)
 ORDER = ("ts", "event_id")
 
 
-def median(values: Column) -> Column:
-    """Median of a short array."""
-    ordered = F.array_sort(values)
-    size = F.size(ordered)
-    low = F.get(ordered, ((size - 1) / 2).cast("int"))
-    high = F.get(ordered, (size / 2).cast("int"))
-    return (low + high) / 2
+def _learned(first: Sequence[Column], window: int) -> Column:
+    """Median of those of the first three timings that a window holds at the third."""
+    held = list(first)[-window:]
+    if len(held) == 3:
+        a, b, c = held
+        middle = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+    else:
+        middle = sum(held[1:], held[0]) / len(held)
+    return F.when(first[2].isNotNull(), middle)
 
 
 def learn_baseline(
@@ -49,8 +51,8 @@ def learn_baseline(
 ) -> DataFrame:
     """Baseline per session: median of the timings the window holds at the third one."""
     heads = first_rows(log, keys, order, elapsed, 3, "_head")
-    learned = F.when(F.size("_head") == 3, median(last_n(F.col("_head"), min(window, 3))))
-    return heads.select(*keys, learned.alias("baseline"))
+    first = [F.get("_head", F.lit(i)) for i in range(3)]
+    return heads.select(*keys, _learned(first, window).alias("baseline"))
 
 
 def _item_state(
@@ -74,35 +76,46 @@ def _item_state(
         "*",
         F.row_number().over(ordered).alias("_rank"),
         F.collect_list(elapsed).over(upto).alias("_recent"),
-        F.avg(elapsed).over(upto).alias("_mean"),
+        F.sum(elapsed).over(upto).alias("_sum"),
         F.max(elapsed).over(upto).alias("_max"),
-        F.collect_list(elapsed).over(ahead).alias("_past"),
         F.max(elapsed).over(ahead).alias("_past_max"),
         *[F.nth_value(elapsed, i).over(so_far).alias(f"_first{i}") for i in (1, 2, 3)],
     )
     out = attach(out, chunk_edges(log, keys, order, elapsed, window, 3), [*keys, CHUNK])
 
-    # Rows near the start of a later chunk look back into the chunks before it.
-    reaches_back = F.col("_tail").isNotNull() & (F.col("_rank") <= window)
-    recent = last_n(F.concat("_tail", "_recent"), window)
-    past = last_n(F.concat("_tail", "_past"), window)
-    mean = F.aggregate(recent, F.lit(0.0), lambda a, b: a + b) / F.size(recent)
+    # Rows near the start of a later chunk look back into the chunks before it: what their
+    # own chunk lacks of the window comes from the tail.
+    rank = F.col("_rank")
+    reaches_back = F.col("_tail").isNotNull() & (rank <= window)
+    lacking = last_n(F.col("_tail"), F.greatest(F.lit(window) - rank, F.lit(0)))
+    lacking_past = last_n(F.col("_tail"), F.lit(window + 1) - rank)
+    held_sum = F.aggregate(lacking, F.lit(0.0), lambda a, b: a + b) + F.col("_sum")
     out = out.withColumns(
         {
-            "seq": F.col("_rank") + F.coalesce(F.col("_before"), F.lit(0)),
-            "recent_times": F.when(reaches_back, recent).otherwise(F.col("_recent")),
-            "recent_mean": F.when(reaches_back, mean).otherwise(F.col("_mean")),
-            "recent_max": F.when(reaches_back, F.array_max(recent)).otherwise(F.col("_max")),
-            "_past_max": F.when(reaches_back, F.array_max(past)).otherwise(F.col("_past_max")),
+            "seq": rank + F.coalesce(F.col("_before"), F.lit(0)),
+            "recent_times": F.when(reaches_back, F.concat(lacking, F.col("_recent"))).otherwise(
+                F.col("_recent")
+            ),
+            "recent_mean": F.when(reaches_back, held_sum / (F.size(lacking) + rank)).otherwise(
+                F.col("_sum") / F.least(rank, F.lit(window))
+            ),
+            "recent_max": F.when(
+                reaches_back, F.greatest(F.array_max(lacking), F.col("_max"))
+            ).otherwise(F.col("_max")),
+            "_past_max": F.when(
+                reaches_back, F.greatest(F.array_max(lacking_past), F.col("_past_max"))
+            ).otherwise(F.col("_past_max")),
         }
     )
 
     if baseline is None:
-        held = F.array(*[f"_first{i}" for i in range(4 - min(window, 3), 4)])
-        inside = F.when(F.col("_first3").isNotNull(), median(held))
-        known = F.when(F.col("_head").isNull(), inside).when(
-            F.size("_head") == 3, median(last_n(F.col("_head"), min(window, 3)))
-        )
+        first = [
+            F.when(F.col("_head").isNull(), F.col(f"_first{i + 1}")).otherwise(
+                F.get("_head", F.lit(i))
+            )
+            for i in range(3)
+        ]
+        known = _learned(first, window)
         after, before = (
             F.when(F.col("seq") >= 3, known),
             F.when(F.col("seq") > 3, known),
