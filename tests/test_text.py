@@ -61,7 +61,7 @@ def test_session_key(frame):
 def test_dated_key(spark):
     row = spark.range(1).select(
         text.session_key(F.lit("my study"), F.lit("2025-10-18").cast("date")),
-        text.all_steps_key(F.lit("A Giraffe"), F.lit("2025-10-18").cast("date")),
+        text.all_steps_key(F.lit("A Heron"), F.lit("2025-10-18").cast("date")),
     ).first()
     assert tuple(row) == ("my_study_20251018", "a_allsteps_20251018")
 
