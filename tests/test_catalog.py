@@ -5,9 +5,9 @@ import pytest
 
 import __spark_entry__ as entry_point
 from kilnflow.operators.ordered import CUTS_CONF, ROWS_CONF
+from kilnflow.plans.catalog import QUERIES
+from kilnflow.plans.oracle import SQL
 
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
 ORDERED = [
     n for n in QUERIES
     if n.split("_")[0] in ("A3", "W1", "W2", "W3", "W4", "W5", "W6", "W7", "W9", "W10", "P10", "J4", "T6")
@@ -20,8 +20,9 @@ def con(data):
 
 
 def test_same_names():
-    assert set(SQL) <= set(QUERIES)
-    assert not set(QUERIES) - set(SQL)
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry(spark):
