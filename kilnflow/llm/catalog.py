@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from kilnflow.llm import exact
+from kilnflow.llm import bpe, exact, mixing, shards
 
 QUERIES = {
+    "op2_fair_queue_mix": mixing.op2_fair_queue_mix,
+    "op4_hash_tree_shards": shards.op4_hash_tree_shards,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
 SQL = {
+    "op2_fair_queue_mix": mixing.OP2_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
 }
