@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from kilnflow.llm import bpe, exact, mixing, shards
+from kilnflow.llm import bpe, exact, language, mixing, quality, shards, topk
 
 QUERIES = {
     "op2_fair_queue_mix": mixing.op2_fair_queue_mix,
     "op4_hash_tree_shards": shards.op4_hash_tree_shards,
+    "op5_quality": quality.op5_quality,
+    "op6_language": language.op6_language,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_block_max_top_k": topk.op8_block_max_top_k,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
 SQL = {
     "op2_fair_queue_mix": mixing.OP2_SQL,
+    "op8_block_max_top_k": topk.OP8_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
 }
