@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from kilnflow.llm import bpe, exact, language, mixing, quality, shards, topk
+from kilnflow.llm import bpe, exact, language, mixing, neardup, pii, quality, shards, topk
 
 QUERIES = {
+    "op1_personal_data": pii.op1_personal_data,
     "op2_fair_queue_mix": mixing.op2_fair_queue_mix,
     "op4_hash_tree_shards": shards.op4_hash_tree_shards,
     "op5_quality": quality.op5_quality,
     "op6_language": language.op6_language,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_block_max_top_k": topk.op8_block_max_top_k,
+    "op9_weighted_near_dedup": neardup.op9_weighted_near_dedup,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
