@@ -304,10 +304,20 @@ def train(patterns: Patterns) -> SpanClassifier:
 
 def vote_patterns(found: DataFrame) -> Patterns:
     """How often each kind got each combination of votes: at most 8 x 3^5 rows."""
-    # An outer explode: the plain one first tests the array's size, and so finds it twice.
-    spans = found.select(F.explode_outer("spans").alias("s")).filter("s is not null")
-    counts = spans.groupBy("s.kind", "s.votes").agg(F.count(F.lit(1)).alias("n"))
-    return sorted((r.kind, tuple(r.votes), r.n) for r in counts.collect())
+    base = 3 ** len(LABELERS)
+
+    def code(s: Column) -> Column:
+        digits = F.transform(s["votes"], lambda v, i: (v + 1) * F.pow(F.lit(3), i).cast("int"))
+        return s["kind"] * base + _total(digits)
+
+    # One number per span: exploding the spans themselves would find them once for each field.
+    # The outer explode, because the plain one first tests the array, and finds it twice.
+    codes = found.select(F.explode_outer(F.transform("spans", code)).alias("code"))
+    counts = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("code is not null")
+    return sorted(
+        (r.code // base, tuple(r.code % base // 3**i % 3 - 1 for i in range(len(LABELERS))), r.n)
+        for r in counts.collect()
+    )
 
 
 def _of_kind(kind: int) -> Callable[[Column], Column]:
