@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kilnflow.llm import bpe, exact, language, mixing, neardup, pii, quality, shards, topk
+from kilnflow.llm import bpe, exact, language, licenses, mixing, neardup, pii, quality, shards, topk
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
     "op2_fair_queue_mix": mixing.op2_fair_queue_mix,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_hash_tree_shards": shards.op4_hash_tree_shards,
     "op5_quality": quality.op5_quality,
     "op6_language": language.op6_language,
@@ -18,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op2_fair_queue_mix": mixing.OP2_SQL,
+    "op3_license_scan": licenses.OP3_SQL,
     "op8_block_max_top_k": topk.OP8_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kilnflow.session import scratch_path, staged, table
 
 __all__ = [
-    "WHITE", "documents", "hash48", "label_of", "restored", "scratch_path", "shuffle_width",
+    "WHITE", "documents", "hash48", "label_of", "let", "restored", "scratch_path", "shuffle_width",
     "source_key", "staged", "table", "unused", "word_count",
 ]
 
@@ -61,6 +61,11 @@ def label_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def restored(docs: DataFrame, plan: DataFrame, keys: dict[str, Column], times: str) -> DataFrame:
     """Rows of ``docs`` that ``plan`` names, each ``times`` times, with their own columns only.
 

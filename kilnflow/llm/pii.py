@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnflow.llm.common import documents
+from kilnflow.llm.common import documents, let
 
 # --- Fixed values -------------------------------------------------------------------------
 
@@ -93,11 +93,6 @@ EM_ROUNDS = 25
 TRAIN_ROUNDS = 300
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
