@@ -4,21 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnflow.llm import exact
-from kilnflow.llm.common import documents, staged
+from kilnflow.llm import bpe, exact, mixing, neardup, quality
+from kilnflow.llm.common import documents, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of these documents."""
+    return quality.good(docs, table(spark, sf_dir, "labels"))
+
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each set of equal texts stays."""
     return exact.drop_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return neardup.one_of_each(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document stays, goes, or is there twice."""
+    return mixing.mixed(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row that the mix holds."""
+    return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mix", mix_stage),
+    ("tokens", token_stage),
 ]
 
 #: A trained network, sampled hashes and a tokenizer: SQL can't express the stages.
