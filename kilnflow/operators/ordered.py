@@ -11,12 +11,14 @@ key and order columns is a multiple of ``rows``. So
 * every branch of a plan and every retry of a task cuts at the same rows;
 * a chunk holds about ``rows`` rows whatever the distribution of keys or times, and
   equal timestamps are parted by the tie-break column;
-* a table of N rows has about N / ``rows`` cut points. Should that pass the bound of
-  ``spark.kilnflow.maxCuts``, half of them are dropped (by a second hash), then half
-  of the rest, as often as needed. The query counts them itself before it broadcasts them.
+* there are no more cut points than tasks can use: where a table of N rows has more than
+  16 per shuffle partition, those with the smaller second hash are left out, so that a chunk
+  is at most about a sixteenth of a task's share of the table.
 
-Cut points and carried totals are the only data broadcast. Both have at most one entry per
-chunk of a key with cut points, so at most twice the bound, whatever the table's size.
+The cut points are one sorted array for the whole table, a scalar of the plan as the bounds of
+Spark's own range partitioning are: a task holds it once, a row finds its chunk by bisection,
+and no row carries it. Carried totals are the only data broadcast, one row per chunk of a key
+with cut points.
 
 The order columns must identify a row within its key, and the input must give the same rows
 each time it is read.
@@ -37,8 +39,7 @@ HELPERS = (CHUNK, SPLIT)
 
 ROWS_CONF = "spark.kilnflow.rowsPerChunk"
 DEFAULT_ROWS = 1_000_000
-CUTS_CONF = "spark.kilnflow.maxCuts"
-DEFAULT_CUTS = 500_000
+CUTS_PER_PARTITION = 16
 
 
 def chunk_rows(spark: SparkSession) -> int:
@@ -46,9 +47,9 @@ def chunk_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_CONF, str(DEFAULT_ROWS)))
 
 
-def max_cuts(spark: SparkSession) -> int:
-    """Cut points broadcast at most."""
-    return int(spark.conf.get(CUTS_CONF, str(DEFAULT_CUTS)))
+def useful_cuts(spark: SparkSession) -> int:
+    """Cut points that spread a table over all tasks, several to each."""
+    return CUTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -65,40 +66,30 @@ def attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(renamed), match, "left").drop(*[f"_on_{c}" for c in on])
 
 
-def _cuts_up_to(cuts: Column, tick: Column) -> Column:
-    """How many of the sorted ``cuts`` are at or before ``tick``, by bisection."""
+def _key_of(keys: list[str]) -> Column:
+    """The key as one value; a table without keys has one."""
+    return (F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))).alias("key")
 
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.shiftright(span["lo"] + span["hi"], 1)
-        return (
-            F.when(span["lo"] >= span["hi"], span)
-            .when(
-                F.get(cuts, middle) <= tick,
-                F.struct((middle + 1).alias("lo"), span["hi"].alias("hi")),
-            )
-            .otherwise(F.struct(span["lo"].alias("lo"), middle.alias("hi")))
-        )
 
-    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size(cuts))))
-    whole = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    return F.aggregate(rounds, whole, halve, lambda span: span["lo"])
-
-
-def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
-    """Order values at which chunks open, as ``_tick``, no more of them than the bound."""
+def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) -> Column:
+    """All cut points in order, each with its number within its key, as a scalar."""
     opens = F.pmod(F.xxhash64(*keys, *order), F.lit(rows)) == 0
     # Another hash ranks the cut points: rank 1 and up half of them, 2 and up a quarter, ...
     lots = F.xxhash64(F.lit("rank"), *keys, *order).bitwiseAND(F.lit(2**63 - 1))
     rank = F.bit_count(lots.bitwiseAND(-lots) - 1)
     openers = (
         df.where(opens)
-        .select(*keys, F.struct(*order).alias("_tick"), rank.alias("_rank"))
-        .groupBy(*keys, "_tick")
-        .agg(F.max("_rank").alias("_rank"))
+        .select(_key_of(keys), F.struct(*order).alias("tick"), rank.alias("rank"))
+        .groupBy("key", "tick")
+        .agg(F.max("rank").alias("rank"))
     )
-    excess = F.count("_rank") / F.lit(float(max_cuts(df.sparkSession)))
+    excess = F.count("rank") / F.lit(float(useful_cuts(df.sparkSession)))
     halvings = F.when(excess <= 1, 0).otherwise(F.ceil(F.log2(excess)))
-    return openers.where(F.col("_rank") >= openers.agg(halvings).scalar())
+    number = F.row_number().over(Window.partitionBy("key").orderBy("tick"))
+    kept = openers.where(F.col("rank") >= openers.agg(halvings).scalar()).select(
+        F.struct("key", "tick").alias("at"), number.alias("number")
+    )
+    return kept.agg(F.sort_array(F.collect_list(F.struct("at", "number")))).scalar()
 
 
 def cut(
@@ -108,18 +99,26 @@ def cut(
     if CHUNK in df.columns:
         return df
     keys, order = list(keys), list(order)
-    points = _cut_points(df, keys, order, rows or chunk_rows(df.sparkSession))
-    cuts = F.sort_array(F.collect_list("_tick")).alias("_cuts")
-    if keys:
-        marked = attach(df, points.groupBy(*keys).agg(cuts), keys)
-    else:
-        marked = df.withColumn("_cuts", points.agg(cuts).scalar())
-    chunk = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-        _cuts_up_to(F.col("_cuts"), F.struct(*order))
+    cuts = _cut_points(df, keys, order, rows or chunk_rows(df.sparkSession))
+    at = F.struct(_key_of(keys), F.struct(*order).alias("tick"))
+    mine = [F.col(f"`{c}`") for c in df.columns]
+    # Bisection, one step to a projection: all are generated code of one stage, in which the
+    # array is a reference. A function with a lambda would end the stage and copy the array.
+    marked = df.select("*", cuts.alias("_cuts"), at.alias("_at"), F.lit(0).alias("_passed"))
+    step = 1 << useful_cuts(df.sparkSession).bit_length()
+    while step:
+        reached = F.get("_cuts", F.col("_passed") + (step - 1))["at"] <= F.col("_at")
+        passed = F.col("_passed") + F.when(reached, step).otherwise(0)
+        marked = marked.select(*mine, "_cuts", "_at", passed.alias("_passed"))
+        step >>= 1
+    last, following = F.get("_cuts", F.col("_passed") - 1), F.get("_cuts", F.col("_passed"))
+    key = F.col("_at.key")
+    after = last["at"]["key"].eqNullSafe(key)
+    return marked.select(
+        *mine,
+        F.when(after, last["number"]).otherwise(0).alias(CHUNK),
+        (after | following["at"]["key"].eqNullSafe(key)).alias(SPLIT),
     )
-    return marked.withColumn(CHUNK, chunk).withColumn(
-        SPLIT, F.col("_cuts").isNotNull()
-    ).drop("_cuts")
 
 
 def chunk_window(

@@ -4,7 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_point
-from kilnflow.operators.ordered import CUTS_CONF, ROWS_CONF
+from kilnflow.operators.ordered import ROWS_CONF
 from kilnflow.plans.catalog import QUERIES
 from kilnflow.plans.oracle import SQL
 
@@ -39,9 +39,7 @@ def test_equals_sql(spark, data, con, name):
 @pytest.mark.parametrize("name", ORDERED)
 def test_equals_sql_when_cut_small(spark, data, con, name):
     spark.conf.set(ROWS_CONF, "6")
-    spark.conf.set(CUTS_CONF, "90")
     try:
         assert compare.compare(con, SQL[name], QUERIES[name](spark, data)) is None
     finally:
         spark.conf.unset(ROWS_CONF)
-        spark.conf.unset(CUTS_CONF)

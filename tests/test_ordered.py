@@ -96,17 +96,30 @@ def test_chunks_follow_the_order(skewed):
         assert chunks == sorted(chunks)
 
 
-def test_cut_points_are_bounded(spark, skewed):
-    spark.conf.set(ordered.CUTS_CONF, "20")
+def test_no_more_cut_points_than_tasks_can_use(spark, skewed):
+    chunks = cut(skewed, ["key"], ["t", "id"], 1)
+    cuts = chunks.groupBy("key").agg(F.max("_chunk").alias("n")).agg(F.sum("n")).first()[0]
+    assert 0 < cuts <= ordered.useful_cuts(spark)
+    numbered = number_rows(skewed, ["key"], ["t", "id"], rows=1)
+    for group in by_key(numbered).values():
+        assert [r["position"] for r in group] == list(range(1, len(group) + 1))
+
+
+def test_no_row_carries_the_cut_points(spark, skewed):
+    """Chunks come from a scalar of the plan, within one stage of generated code."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        chunks = cut(skewed, ["key"], ["t", "id"], 1)
-        cuts = chunks.groupBy("key").agg(F.max("_chunk").alias("n")).agg(F.sum("n")).first()[0]
-        assert 0 < cuts <= 40
-        numbered = number_rows(skewed, ["key"], ["t", "id"], rows=1)
-        for group in by_key(numbered).values():
-            assert [r["position"] for r in group] == list(range(1, len(group) + 1))
+        frame = cut(skewed, ["key"], ["t", "id"], 10)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset(ordered.CUTS_CONF)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    steps = [
+        line for line in plan.splitlines()
+        if "_cuts" in line and "collect_list" not in line and "Subquery scalar" not in line.split("Project")[0]
+    ]
+    # "*(n)" marks generated code; one n means one stage.
+    assert len({line[line.index("*(") : line.index(")") + 1] for line in steps}) == 1
+    assert "lambda" not in "".join(steps) and "Join" not in "".join(steps)
 
 
 def test_no_filter_stays_above_the_shuffle_of_small_keys(skewed):
