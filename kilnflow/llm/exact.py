@@ -82,7 +82,10 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
     # The complement orders ids downwards without overflow.
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("down"))).alias("best")
-    groups = copies.groupBy("digest").agg(best, F.sum("copies").alias("group_size"))
+    # Written, because the optimizer would move the anti-join below the sums otherwise.
+    groups = staged(
+        copies.groupBy("digest").agg(best, F.sum("copies").alias("group_size")), "digest-groups"
+    )
     new = groups.join(index.read().hint("merge"), "digest", "left_anti")
     index.append(
         new.select(
