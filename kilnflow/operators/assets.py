@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kilnflow.operators.ordered import (
     CHUNK,
@@ -75,6 +76,23 @@ def sample_every_n(
     )
 
 
+def _print_of(df: DataFrame, value: str) -> Column:
+    """What two values have in common just when they are equal: a short digest of large ones."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.struct(F.sha2(value, 256), F.octet_length(value))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.StringType)):
+        # Adding 0 makes the zeros of both signs one; every entry says how long it is.
+        number = isinstance(kind.elementType, (T.FloatType, T.DoubleType))
+
+        def entry(x: Column) -> Column:
+            shown = (x + F.lit(0.0) if number else x).cast("string")
+            return F.coalesce(F.concat(F.length(shown), F.lit(":"), shown), F.lit("-"))
+
+        return F.struct(F.sha2(F.array_join(F.transform(value, entry), ""), 256), F.size(value))
+    return F.col(value)
+
+
 def consecutive_duplicates(
     frames: DataFrame,
     keys: Sequence[str],
@@ -82,7 +100,12 @@ def consecutive_duplicates(
     value: str,
     rows: int | None = None,
 ) -> DataFrame:
-    """Flag a frame that equals the one before it; the first of a run never does."""
-    seen = previous(frames, keys, order, value, "_before", rows)
-    same = F.coalesce(F.col(value) == F.col("_before"), F.lit(False))
-    return seen.withColumn("is_duplicate", same).drop("_before")
+    """Flag a frame that equals the one before it; the first of a run never does.
+
+    Frames are compared by digest, so that none is kept beside its successor or handed on
+    from chunk to chunk.
+    """
+    known = F.when(F.col(value).isNotNull(), _print_of(frames, value))
+    seen = previous(frames.withColumn("_print", known), keys, order, "_print", "_before", rows)
+    same = F.coalesce(F.col("_print") == F.col("_before"), F.lit(False))
+    return seen.withColumn("is_duplicate", same).drop("_before", "_print")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnflow.constants import COMPONENT_MODES
@@ -36,17 +36,23 @@ def active_components(
     )
 
 
-def dimmed_rows(active: DataFrame, row_of: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
-    """Display rows without an active component, per request."""
-    pairs = [F.lit(x) for pair in row_of.items() for x in pair]
-    return (
-        active.withColumn("row", F.create_map(*pairs)[F.col("component")])
-        .where(F.col("row").isNotNull())
-        .groupBy(*keys, "row")
-        .agg(F.bool_or("is_active").alias("_lit"))
-        .where(~F.col("_lit"))
-        .drop("_lit")
-    )
+def dimmed_rows(
+    requests: DataFrame, row_of: Mapping[str, str], components: Mapping[str, str] = COMPONENT_MODES
+) -> DataFrame:
+    """Display rows without an active component, one row per request and such row.
+
+    They follow from the mode alone, so they are worked out per mode and looked up.
+    """
+    active = {name: set(modes.split(",")) for name, modes in components.items() if name in row_of}
+    every = sorted({row_of[name] for name in active})
+
+    def dimmed(mode: str | None) -> Column:
+        lit = {row_of[name] for name, modes in active.items() if modes & {"all", mode}}
+        return F.array(*[F.lit(r) for r in every if r not in lit]).cast("array<string>")
+
+    modes = sorted(set().union(*active.values()) - {"all"})
+    known = F.create_map(*[part for m in modes for part in (F.lit(m), dimmed(m))])
+    return requests.select("*", F.explode(F.coalesce(known[F.col("mode")], dimmed(None))).alias("row"))
 
 
 def zip_by_position(

@@ -45,17 +45,43 @@ def models_table(spark: SparkSession, models: Mapping[str, Mapping] = MODELS) ->
     return spark.createDataFrame(rows, MODEL_SCHEMA)
 
 
-def lookup_model(requests: DataFrame, models: DataFrame, known: Sequence[str] = ()) -> DataFrame:
+def _literal(value: object, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        parts = value.values() if isinstance(value, Mapping) else value
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(parts, kind.fields)])
+    return F.lit(value).cast(kind)
+
+
+def lookup_model(
+    requests: DataFrame, models: DataFrame | Mapping[str, Mapping], known: Sequence[str] = ()
+) -> DataFrame:
     """Add the settings of each request's model, and an error where there are none.
 
-    The join carries no hint: a settings table below the broadcast threshold is broadcast,
-    a larger one is shuffled. ``known`` names the models in the error text. The flags read
-    by lenient look-ups are False and null for an unknown model.
+    Settings given as a mapping travel inside the expression: no join, so a model that most
+    requests ask for costs nothing. A table of the caller's is joined by what Spark knows of
+    its size. ``known`` names the models in the error text. The flags read by lenient
+    look-ups are False and null for an unknown model.
     """
     names = ", ".join(f"'{n}'" for n in known)
-    found = requests.join(models.withColumn("_found", F.lit(True)), "model", "left")
+    if isinstance(models, Mapping):
+        fields = MODEL_SCHEMA.fields[1:]
+        entries = [
+            part
+            for name, settings in models.items()
+            for part in (
+                F.lit(name),
+                F.struct(*[_literal(settings.get(f.name), f.dataType).alias(f.name) for f in fields]),
+            )
+        ]
+        settings = requests.withColumn("_settings", F.create_map(*entries)[F.col("model")])
+        found = settings.select(
+            "*", *[F.col(f"_settings.{f.name}") for f in fields], F.col("_settings").isNotNull().alias("_found")
+        ).drop("_settings")
+    else:
+        joined = requests.join(models.withColumn("_found", F.lit(True)), "model", "left")
+        found = joined.withColumn("_found", F.coalesce("_found", F.lit(False)))
     error = F.when(
-        F.col("_found").isNull(),
+        ~F.col("_found"),
         F.concat(F.lit("Unknown model: "), F.col("model"), F.lit(f". Available: [{names}]")),
     )
     return (

@@ -156,8 +156,7 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
-    models = requests.models_table(spark)
-    found = requests.lookup_model(feeds.requests(spark, sf), models, list(MODELS))
+    found = requests.lookup_model(feeds.requests(spark, sf), MODELS, list(MODELS))
     return requests.resolve_defaults(found)
 
 
@@ -291,7 +290,7 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
     asked = feeds.requests(spark, sf).withColumn(
         "model", F.when(F.col("request_id") % 17 == 0, "dalle").otherwise(F.col("model"))
     )
-    found = requests.lookup_model(asked, requests.models_table(spark), list(MODELS))
+    found = requests.lookup_model(asked, MODELS, list(MODELS))
     return found.select(
         "request_id", "model", "model_id", "default_steps",
         F.col("default_size.h").alias("default_height"),
@@ -309,15 +308,14 @@ def _asked_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J2_active_components")
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    active = lookups.active_components(_asked_modes(spark, sf))
-    return active.groupBy("mode", "component", "is_active").agg(F.count(F.lit(1)).alias("requests"))
+    per_mode = _asked_modes(spark, sf).groupBy("mode").agg(F.count(F.lit(1)).alias("requests"))
+    return lookups.active_components(per_mode).select("mode", "component", "is_active", "requests")
 
 
 @query("J2_dimmed_rows")
 def j2_rows(spark: SparkSession, sf: str) -> DataFrame:
     row_of = {c: c.split("-")[0] for c in COMPONENT_MODES}
-    active = lookups.active_components(_asked_modes(spark, sf))
-    return lookups.dimmed_rows(active, row_of, ["request_id"])
+    return lookups.dimmed_rows(_asked_modes(spark, sf), row_of).select("request_id", "row")
 
 
 @query("J3_map_stage")
@@ -707,13 +705,19 @@ def v3(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files, in micro-batches of bounded size."""
+STREAM_BYTES_CONF = "spark.kilnflow.maxBytesPerTrigger"
+
+
+def _event_stream(spark: SparkSession, sf: str, batch_bytes: str = str(1 << 30)) -> DataFrame:
+    """The events table, a file or a folder of files, as a stream.
+
+    A micro-batch takes whole files up to about the given size, so the files' sizes bound it.
+    The path is a pattern because a stream takes a plain path for a folder.
+    """
     return (
         spark.readStream.schema(table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxBytesPerTrigger", 1 << 30)
-        .parquet(sf)
+        .option("maxBytesPerTrigger", batch_bytes)
+        .parquet(f"{sf}/events.parque[t]")
     )
 
 
@@ -728,7 +732,7 @@ def _run(
     session = stateful.stateful_session(spark)
     path = scratch_path(spark, name)
     sink = None if mode == "append" else progress.parquet_sink(path)
-    stream = make(_event_stream(session, sf))
+    stream = make(_event_stream(session, sf, spark.conf.get(STREAM_BYTES_CONF, str(1 << 30))))
     stateful.run_available(stream, path, scratch_path(spark, f"{name}-state"), mode, sink)
     return path
 
@@ -815,7 +819,8 @@ def t7(spark: SparkSession, sf: str) -> DataFrame:
             "second": progress.parquet_sink(second),
         }
     )
-    stream = feeds.as_state_events(_event_stream(spark, sf)).select("run_id", "seq", "component")
+    events = _event_stream(spark, sf, spark.conf.get(STREAM_BYTES_CONF, str(1 << 30)))
+    stream = feeds.as_state_events(events).select("run_id", "seq", "component")
     stateful.run_available(stream, "", scratch_path(spark, "fan-state"), sink=deliver)
 
     def received(name: str, path: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Progress events as streams: newest state, run status, progress, idle sessions, fan-out.
 
 Each function is a transformation of a streaming DataFrame and works on a table as well, so
-the table result is the stream's twin. Watermarks bound what the stream remembers.
+the table result is the stream's twin. A watermark bounds what :func:`idle_windows` remembers;
+the newest states, statuses and open sessions keep one small row for every run or key seen.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +80,8 @@ def open_sessions(events: DataFrame, key: str = "user_id", gap_s: str = "gap_s")
     )
 
 
+LOG = logging.getLogger(__name__)
+
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -106,9 +110,12 @@ def fan_out(
     """For ``foreachBatch``: give each batch to every sink; one that fails is left out of
     the later ones, and the others still get theirs.
 
-    The batch is kept while the sinks read it, so the source is read once.
+    The result's ``missed`` maps each such sink to the first batch it did not get, from where
+    it can be replayed; without ``on_error`` the loss is logged. The batch is kept while the
+    sinks read it, so the source is read once.
     """
     alive = dict(sinks)
+    missed: dict[str, int] = {}
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -118,9 +125,13 @@ def fan_out(
                     sink(batch, batch_id)
                 except Exception as problem:  # any sink may fail in its own way
                     del alive[name]
+                    missed[name] = batch_id
                     if on_error is not None:
                         on_error(name, batch_id, problem)
+                    else:
+                        LOG.warning("sink %s is left out from batch %s on: %s", name, batch_id, problem)
         finally:
             batch.unpersist()
 
+    deliver.missed = missed
     return deliver

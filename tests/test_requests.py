@@ -167,3 +167,23 @@ def test_audit(spark):
     got = {r["page_id"]: r for r in audit.content_audit(pages, "<p", ["One", "Two"], ["</p>"], '"t">').collect()}
     assert (got[1]["marker_count"], got[1]["missing_titles"], got[1]["passed"]) == (2, ["Two"], True)
     assert (got[2]["marker_count"], got[2]["found_titles"], got[2]["passed"]) == (0, 0, False)
+
+
+def test_settings_in_a_mapping_need_no_join(spark):
+    rows = asked(spark, [(1, "a", None, 0, 0, 0, "flux"), (2, "a", 8, 8, 1, 1, "dalle"), (3, "a", 8, 8, 1, 1, None)])
+    inside = requests.lookup_model(rows, MODELS, list(MODELS))
+    joined = requests.lookup_model(rows, requests.models_table(spark), list(MODELS))
+    assert sorted(map(str, inside.select(*joined.columns).collect())) == sorted(map(str, joined.collect()))
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_dimmed_rows_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "text2img"), (2, "nothing"), (3, None)], "id int, mode string")
+    row_of = {c: c.split("-")[0] for c in COMPONENT_MODES}
+    out = lookups.dimmed_rows(rows, row_of)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["row"]) for r in out.collect()}
+    active = lookups.active_components(rows).collect()
+    lit = {(r["id"], row_of[r["component"]]) for r in active if r["is_active"]}
+    assert got == {(r["id"], row_of[r["component"]]) for r in active} - lit

@@ -156,3 +156,34 @@ def test_a_repeated_batch_replaces_itself(spark):
     for _ in range(2):
         sink(spark.range(5), 0)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_streams_read_a_folder_of_files(spark, data, tmp_path):
+    """Several files in several micro-batches give what the one file gives."""
+    from kilnflow.plans import catalog
+
+    spark.read.parquet(f"{data}/events.parquet").repartitionByRange(3, "ts").write.parquet(
+        f"{tmp_path}/events.parquet"
+    )
+    spark.conf.set(catalog.STREAM_BYTES_CONF, "1")
+    try:
+        for name in ("T1_latest_state", "T2_stream_progress", "T5_run_status", "T7_fan_out"):
+            one = catalog.QUERIES[name](spark, data).collect()
+            many = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+            assert one and sorted(map(str, one)) == sorted(map(str, many)), name
+    finally:
+        spark.conf.unset(catalog.STREAM_BYTES_CONF)
+
+
+def test_fan_out_says_what_a_sink_missed(spark):
+    from kilnflow.streaming import progress
+
+    def broken(batch, batch_id):
+        if batch_id == 2:
+            raise OSError("gone")
+
+    got = []
+    deliver = progress.fan_out({"broken": broken, "good": lambda b, i: got.append(i)})
+    for i in range(4):
+        deliver(spark.range(1), i)
+    assert deliver.missed == {"broken": 2} and got == [0, 1, 2, 3]
