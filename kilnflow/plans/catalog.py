@@ -77,6 +77,20 @@ def s3(spark: SparkSession, sf: str) -> DataFrame:
     return assets.describe_assets(feeds.assets(spark, sf)).select("path", "length", r6("size_mb"))
 
 
+@query("S3_read_asset_catalog")
+def s3_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One asset file for each source, listed by the reader."""
+    folder = scratch_path(spark, "assets")
+    names = table(spark, sf, "documents").select("source", F.concat("lang", F.col("doc_id")).alias("value"))
+    names.hint("rebalance", "source").write.partitionBy("source").text(folder)
+    catalog = files.read_asset_catalog(spark, f"{folder}/source=*", "*.txt")
+    source = F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source")
+    return assets.describe_assets(catalog).groupBy(source).agg(
+        F.sum("length").alias("length"), F.bool_and(F.col("mtime").isNotNull()).alias("dated"),
+        F.round(F.sum("size_mb"), 6).alias("size_mb"),
+    )
+
+
 @query("S4_image_dimensions")
 def s4(spark: SparkSession, sf: str) -> DataFrame:
     sizes = feeds.requests(spark, sf).select("request_id", "width", "height")
@@ -122,8 +136,7 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
     return sent.select("prompt_id", "encoded", decoded)
 
 
-@query("S7_read_state_events")
-def s7(spark: SparkSession, sf: str) -> DataFrame:
+def _write_state_events(spark: SparkSession, sf: str) -> str:
     folder = scratch_path(spark, "events")
     metrics = F.when(F.col("total") > 0, F.create_map(F.lit("time_per_step"), "time_per_step"))
     feeds.state_events(spark, sf).select(
@@ -131,7 +144,11 @@ def s7(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         metrics.alias("metrics"),
     ).write.json(folder)
-    return files.read_state_events(spark, folder).select(
+    return folder
+
+
+def _shown_state_events(events: DataFrame) -> DataFrame:
+    return events.select(
         "run_id", "seq", "component", "progress", "total", "message",
         F.unix_micros("ts").alias("ts_micros"),
         F.size("metrics").alias("metrics"),
@@ -139,6 +156,19 @@ def s7(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("S7_read_state_events")
+def s7(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown_state_events(files.read_state_events(spark, _write_state_events(spark, sf)))
+
+
+@query("S7_stream_state_events")
+def s7_stream(spark: SparkSession, sf: str) -> DataFrame:
+    events = files.read_state_events(spark, _write_state_events(spark, sf), stream=True)
+    path = scratch_path(spark, "events-read")
+    stateful.run_available(_shown_state_events(events), path, scratch_path(spark, "events-state"))
+    return spark.read.parquet(path)
+
+
 @query("S8_write_results")
 def s8(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "results")

@@ -290,6 +290,13 @@ SQL["S7_read_state_events"] = _with("state_events") + """
            case when total > 0 then round(time_per_step, 6) end as time_per_step
     from state_events"""
 
+SQL["S7_stream_state_events"] = SQL["S7_read_state_events"]
+
+SQL["S3_read_asset_catalog"] = """
+    select source, sum(octet_length(encode(lang)) + length(doc_id::varchar) + 1)::bigint as length,
+           true as dated, round(sum(octet_length(encode(lang)) + length(doc_id::varchar) + 1) / 1048576.0, 6) as size_mb
+    from documents group by source"""
+
 SQL["S8_write_results"] = _with("requests") + f"""
     , checked as (
         select *, case when model <> 'flux' then concat('Model not available: ', model)
