@@ -153,7 +153,7 @@ def _cut(ranged: DataFrame, order: tuple[str, ...], share: float):
         upto = F.sum("weighed").over(Window.partitionBy("range").orderBy(*order))
         here = ranged.filter(F.col("range") == crossing["range"]).withColumn("upto", upto)
         within = here.filter(F.col("upto") <= crossing["left"]).drop("upto")
-        rest = within.unionByName(ranged.filter(F.col("range") == crossing["range"] - 1))
+        rest = within.unionByName(ranged.filter(F.col("range") < crossing["range"]))
     last = rest.agg(F.max(F.struct(*order)).alias("cut")).first()
     return last["cut"] if last else None
 
