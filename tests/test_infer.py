@@ -43,3 +43,26 @@ def test_hook_sees_every_nth_step(spark):
 
     got = with_step_hook(steps, hook, "run int, step_index long", ["run"], ["step"], 4, rows=2).collect()
     assert sorted(r["step_index"] for r in got) == [0, 4, 8]
+
+
+def test_results_of_other_types(spark):
+    """Bytes and arrays come back; only the rows that fail carry an error."""
+    from pyspark.sql import types as T
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "id int, v array<double>")
+
+    def make_bytes():
+        def predict(batch):
+            if (batch[:, 0] == 3).any():
+                raise ValueError("three")
+            return [bytes([int(x)]) for x in batch[:, 0]]
+
+        return predict
+
+    out = batch_infer(rows, make_bytes, ["v"], [[2]], batch_size=4, return_type=T.BinaryType())
+    got = {r["id"]: (r["value"], r["error"]) for r in out.collect()}
+    assert got == {i: (None, "three") if i == 3 else (bytes([i]), None) for i in range(7)}
+    doubled = batch_infer(
+        rows, lambda: lambda batch: batch * 2, ["v"], [[2]], return_type=T.ArrayType(T.DoubleType())
+    )
+    assert {r["id"]: r["value"] for r in doubled.collect()} == {i: [2.0 * i, 2.0] for i in range(7)}
