@@ -20,6 +20,7 @@ QUERIES = {
 SQL = {
     "op2_fair_queue_mix": mixing.OP2_SQL,
     "op3_license_scan": licenses.OP3_SQL,
+    "op4_hash_tree_shards": shards.OP4_SQL,
     "op8_block_max_top_k": topk.OP8_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
 }

@@ -153,3 +153,51 @@ def write_shards(docs: DataFrame, leaves: Sequence[Leaf], path: str) -> None:
 
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(documents(spark, sf_dir), planned(SHARDS), planned(SHARDS + 1))
+
+
+def _crc_entry(n: int) -> int:
+    """One entry of the byte table of the reflected CRC-32 polynomial."""
+    for _ in range(8):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+def _placed_sql(tree: str, leaves: Sequence[Leaf]) -> str:
+    """CTEs that descend a tree: the last one has ``doc_id`` and ``node``, the shard."""
+    rows = ", ".join(
+        f"('{parent}', '{name}', {weight}::double)"
+        for parent, below in _children(leaves).items()
+        for name, weight in below.items()
+    )
+    draw = (
+        "-ln((('0x' || substr(md5(d.doc_id || ':' || c.name), 1, 12))::bigint::double + 0.5)"
+        f" / {float(2**48)!r}::double) / c.weight"
+    )
+    steps = [f"{tree}(parent, name, weight) as (values {rows})", f"{tree}0 as (select doc_id, '' as node from documents)"]
+    steps += [
+        f"{tree}{i + 1} as (select d.doc_id, min(struct_pack(draw := {draw}, name := c.name)).name as node"
+        f" from {tree}{i} d join {tree} c on c.parent = d.node group by d.doc_id)"
+        for i in range(3)
+    ]
+    return ",\n".join(steps)
+
+
+OP4_SQL = f"""
+with {_placed_sql("tree", planned(SHARDS))},
+{_placed_sql("larger", planned(SHARDS + 1))},
+sized as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 16 as size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::bigint) as bytes,
+    ('0x' || substr(md5(doc_id || ':slot'), 1, 12))::bigint % {SLOT_PARTS} as part
+  from documents
+), summed as (
+  select doc_id, size::bigint as size, part,
+    xor(4294967295::bigint, coalesce(list_reduce(bytes, lambda c, x: xor(c >> 8,
+      ({[_crc_entry(n) for n in range(256)]}::bigint[])[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295)) as text_crc32
+  from sized
+)
+select s.doc_id, size, text_crc32, 'key' as law, a.node::int as shard,
+  row_number() over (partition by a.node order by part, s.doc_id, text_crc32, size) - 1 as slot,
+  b.node::int as grown_shard
+from summed s join tree3 a using (doc_id) join larger3 b using (doc_id)
+"""
