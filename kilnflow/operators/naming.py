@@ -75,8 +75,8 @@ def unique_names(
     """Add ``name_index`` and ``name`` to each request.
 
     ``existing`` has the stems of files already there in a column ``name``. The requests
-    are read several times, so they are written to the shared folder first: hand in names and
-    order, not texts. They move twice, by slug and chunk; a slug held by a third of them is
+    and their slugs are read several times, so both are written to the shared folder when the
+    function is called: hand in names and order, not texts. They move twice, by slug and chunk; a slug held by a third of them is
     spread over its chunks.
     """
     order = list(order)
@@ -84,8 +84,11 @@ def unique_names(
     if existing is None:
         existing = spark.createDataFrame([], "name string")
     asked = staged(requests.withColumn("_slug", F.col(slug)), "requests")
-    slugs = asked.groupBy("_slug").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")
+    slugs = staged(
+        asked.groupBy("_slug").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")
+        ),
+        "slugs",
     )
 
     # Indexes a slug may find gone: files, and other slugs that spell one of its names.

@@ -15,9 +15,10 @@ key and order columns is a multiple of ``rows``. So
   16 per shuffle partition, those with the smaller second hash are left out, so that a chunk
   is at most about a sixteenth of a task's share of the table.
 
-The cut points are one sorted array for the whole table, a scalar of the plan as the bounds of
-Spark's own range partitioning are: a task holds it once, a row finds its chunk by bisection,
-and no row carries it. Carried totals are the only data broadcast, one row per chunk of a key
+The cut points are one sorted array for the whole table, found by a job when the plan is made, as
+Spark finds the bounds of a range partitioning. It is a literal: a task holds it once, a row
+finds its chunk by bisection, and no row carries it. A table without cut points needs no
+more than its window. Carried totals are the only data broadcast, one row per chunk of a key
 with cut points.
 
 The order columns must identify a row within its key, and the input must give the same rows
@@ -26,7 +27,7 @@ each time it is read.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -66,13 +67,37 @@ def attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(renamed), match, "left").drop(*[f"_on_{c}" for c in on])
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cuts_up_to(cuts: Column, at: Column) -> Column:
+    """How many of the sorted ``cuts`` are at or before ``at``, by bisection."""
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.shiftright(span["lo"] + span["hi"], 1)
+        return (
+            F.when(span["lo"] >= span["hi"], span)
+            .when(
+                F.get(cuts, middle)["at"] <= at,
+                F.struct((middle + 1).alias("lo"), span["hi"].alias("hi")),
+            )
+            .otherwise(F.struct(span["lo"].alias("lo"), middle.alias("hi")))
+        )
+
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size(cuts))))
+    whole = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    return F.aggregate(rounds, whole, halve, lambda span: span["lo"])
+
+
 def _key_of(keys: list[str]) -> Column:
     """The key as one value; a table without keys has one."""
     return (F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))).alias("key")
 
 
-def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) -> Column:
-    """All cut points in order, each with its number within its key, as a scalar."""
+def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) -> Column | None:
+    """All cut points in order, each with its number within its key, as a literal."""
     opens = F.pmod(F.xxhash64(*keys, *order), F.lit(rows)) == 0
     # Another hash ranks the cut points: rank 1 and up half of them, 2 and up a quarter, ...
     lots = F.xxhash64(F.lit("rank"), *keys, *order).bitwiseAND(F.lit(2**63 - 1))
@@ -89,7 +114,12 @@ def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) ->
     kept = openers.where(F.col("rank") >= openers.agg(halvings).scalar()).select(
         F.struct("key", "tick").alias("at"), number.alias("number")
     )
-    return kept.agg(F.sort_array(F.collect_list(F.struct("at", "number")))).scalar()
+    points = kept.agg(F.sort_array(F.collect_list(F.struct("at", "number"))).alias("points"))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    found = points.select(F.size("points").alias("n"), F.to_json("points", exact).alias("text")).first()
+    if not found["n"]:
+        return None
+    return F.from_json(F.lit(found["text"]), points.schema["points"].dataType, exact)
 
 
 def cut(
@@ -100,25 +130,28 @@ def cut(
         return df
     keys, order = list(keys), list(order)
     cuts = _cut_points(df, keys, order, rows or chunk_rows(df.sparkSession))
-    at = F.struct(_key_of(keys), F.struct(*order).alias("tick"))
-    mine = [F.col(f"`{c}`") for c in df.columns]
-    # Bisection, one step to a projection: all are generated code of one stage, in which the
-    # array is a reference. A function with a lambda would end the stage and copy the array.
-    marked = df.select("*", cuts.alias("_cuts"), at.alias("_at"), F.lit(0).alias("_passed"))
-    step = 1 << useful_cuts(df.sparkSession).bit_length()
-    while step:
-        reached = F.get("_cuts", F.col("_passed") + (step - 1))["at"] <= F.col("_at")
-        passed = F.col("_passed") + F.when(reached, step).otherwise(0)
-        marked = marked.select(*mine, "_cuts", "_at", passed.alias("_passed"))
-        step >>= 1
-    last, following = F.get("_cuts", F.col("_passed") - 1), F.get("_cuts", F.col("_passed"))
-    key = F.col("_at.key")
-    after = last["at"]["key"].eqNullSafe(key)
-    return marked.select(
-        *mine,
-        F.when(after, last["number"]).otherwise(0).alias(CHUNK),
-        (after | following["at"]["key"].eqNullSafe(key)).alias(SPLIT),
-    )
+    if cuts is None:
+        return df.withColumn(CHUNK, F.lit(0)).withColumn(SPLIT, F.lit(False))
+    key = _key_of(keys)
+
+    def place(points: Column) -> Column:
+        """The number of the key's last cut point up to here, and whether the key has any."""
+
+        def around(passed: Column) -> Column:
+            last, following = F.get(points, passed - 1), F.get(points, passed)
+            after = last["at"]["key"].eqNullSafe(key)
+            return F.struct(
+                F.when(after, last["number"]).otherwise(0).alias("chunk"),
+                (after | following["at"]["key"].eqNullSafe(key)).alias("split"),
+            )
+
+        at = F.struct(key, F.struct(*order).alias("tick"))
+        return _bound(_cuts_up_to(points, at), around)
+
+    marked = df.withColumn("_place", _bound(cuts, place))
+    return marked.withColumn(CHUNK, F.col("_place.chunk")).withColumn(
+        SPLIT, F.col("_place.split")
+    ).drop("_place")
 
 
 def chunk_window(
