@@ -330,3 +330,43 @@ def test_pairs_inside_a_family_that_shares_three_quarters(spark):
     out = {r.doc_id: r.class_id for r in neardup.near_classes(docs).collect()}
     assert [b for a, b in pairs if out[b] != a] == []
     assert all(out[i] == i for i, _ in rows if i < 1000)
+
+
+def family(members, words, shared, alike, seed=9):
+    """Texts of ``words`` words: all share ``shared`` of their union, each two ``alike`` of it."""
+    rng = np.random.default_rng(seed)
+    core, both = (round(2 * words * j / (1 + j)) for j in (shared, alike))
+    passage = [f"core{i}" for i in range(core)]
+    out = []
+    for i in range(members // 2):
+        extra = [f"pair{i}x{j}" for j in range(both - core)]
+        for k in range(2):
+            own = [f"own{i}y{k}z{j}" for j in range(words - both)]
+            out.append(" ".join([*passage, *extra, *rng.permutation(own)]))
+    return out
+
+
+def test_links_of_a_family_just_below_the_threshold(spark):
+    # With the weights, shared words count less: pairs are at 0.81, the others at 0.74.
+    texts = family(300, 400, 0.76, 0.825)
+    grams = [set(words_of(t)) for t in texts]
+    j = [len(a & b) / len(a | b) for a, b in zip(grams[::2], grams[1::2])]
+    other = len(grams[0] & grams[3]) / len(grams[0] | grams[3])
+    assert min(j) > 0.801 and other < 0.77
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.class_id for r in neardup.near_classes(docs).collect()}
+    found = [out[i + 1] == out[i] == i for i in range(0, 300, 2)]
+    assert np.mean(found) >= 0.97
+    assert all(c in (i, i - 1) for i, c in out.items())
+
+
+def test_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    one, two = " ".join(words), " ".join(edited(words, 150, "other"))
+    rows = [(None, one, {"k": 1}), (None, two, {"k": 2}), (None, one, {"k": 3}), (4, "alone here", {"k": 4}),
+            (5, one + " more", {"k": 5}), (4, "alone here", {"k": 6})] + [(None, "twin text", {"k": i}) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>").repartition(3)
+    out = Counter((r.doc_id, r.class_id) for r in neardup.near_classes(docs).collect())
+    assert out == {(None, 5): 3, (5, 5): 1, (4, 4): 2, (None, None): 90}
+    stay = neardup.one_of_each(docs)
+    assert sorted((r.doc_id or 0, r.text) for r in stay.collect()) == [(0, "twin text"), (4, "alone here"), (5, one + " more")]
