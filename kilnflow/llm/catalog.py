@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from kilnflow.llm import bpe, exact, language, licenses, mixing, neardup, pii, quality, shards, topk
+from kilnflow.llm import (
+    bpe,
+    chat,
+    codes,
+    exact,
+    language,
+    licenses,
+    mixing,
+    neardup,
+    negatives,
+    pii,
+    quality,
+    shards,
+    topk,
+)
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_block_max_top_k": topk.op8_block_max_top_k,
     "op9_weighted_near_dedup": neardup.op9_weighted_near_dedup,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_trie_codes": codes.op12_trie_codes,
+    "op13_chat_windows": chat.op13_chat_windows,
 }
 
 SQL = {
@@ -23,4 +40,6 @@ SQL = {
     "op4_hash_tree_shards": shards.OP4_SQL,
     "op8_block_max_top_k": topk.OP8_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_trie_codes": codes.OP12_SQL,
 }

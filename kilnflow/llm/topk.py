@@ -35,8 +35,8 @@ _EXACT = 2.0**53
 _LEAST = np.iinfo(np.int64).min
 
 
-def quantised(embeddings: DataFrame) -> DataFrame:
-    """``vec_id`` and ``v``: floor(256 x) of every component.
+def quantised(embeddings: DataFrame, *others: Column) -> DataFrame:
+    """``vec_id``, ``others`` and ``v``: floor(256 x) of every component.
 
     Rows with a null id, a null vector, or a null or non-finite component are left out.
     Values beyond a long are held at its ends.
@@ -45,9 +45,10 @@ def quantised(embeddings: DataFrame) -> DataFrame:
         return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
     x = F.col("embedding").cast("array<double>")
-    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), *others, x.alias("x"))
+    return rows.filter(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", usable)
-    ).select("vec_id", F.transform("x", lambda c: F.floor(c * 256)).alias("v"))
+    ).withColumn("v", F.transform("x", lambda c: F.floor(c * 256))).drop("x")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
