@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -75,14 +76,53 @@ def piece_model(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _bytes(2, trainer) + _bytes(3, normaliser)
 
 
+#: Code points that newer Unicode counts as letters, and as numbers, but the
+#: splitting of the vocabulary's own library does not (first and last of each range).
+NEWER_LETTERS = (
+    "558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD "
+    "A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A 11DB0-11DDB "
+    "11DF1-11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168-1B168 1D6A6-1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEWER_NUMBERS = "11DE0-11DE9 1246F-1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _ranges(listed: str) -> str:
+    """The inside of a character class."""
+    return "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in listed.split())
+
+
+class Splitter:
+    """Splits texts into pre-tokens.
+
+    The ``regex`` package knows newer letters and numbers than the vocabulary's library. Texts
+    with any of them, which are rare, are split by classes without them.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        import regex
+
+        self.plain = regex.compile(pattern).findall
+        self.newer = re.compile(f"[{_ranges(NEWER_LETTERS)}{_ranges(NEWER_NUMBERS)}]").search
+        older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{_ranges(NEWER_LETTERS)}]]")
+        older = older.replace(r"\p{N}", rf"[\p{{N}}--[{_ranges(NEWER_NUMBERS)}]]")
+        self.older = regex.compile(older, regex.V1).findall
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or not self.newer(text):
+            return self.plain(text)
+        return self.older(text)
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
     def __init__(self, tokens: list[bytes], model: bytes, pattern: str) -> None:
-        import regex
         import sentencepiece
 
-        self.find = regex.compile(pattern).findall
+        self.find = Splitter(pattern)
         self.pieces = sentencepiece.SentencePieceProcessor()
         self.pieces.LoadFromSerializedProto(model)
         self.tokens = tokens

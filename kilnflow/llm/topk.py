@@ -213,7 +213,8 @@ def top_k(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """The ``k`` best other rows of each query, a row whose ``vec_id`` is divisible by ``every``.
 
     ``query_id``, ``rank`` from 1, ``vec_id``, ``score``; fewer where there are fewer. Rows
-    with the query's own id are not candidates. A shorter vector counts as filled with zeros.
+    with the query's own id are not candidates. Where ids repeat, every row is a query with
+    ranks of its own, and a candidate of its own. A shorter vector counts as filled with zeros.
 
     Tiles of queries meet packs of blocks: each pack is dealt to one slot, each tile to all
     slots. A tile and a pack are a few MB; a task streams through pairs of them.
@@ -224,7 +225,7 @@ def top_k(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     packs = index.select(
         "width", "ids", "vectors", "low", "high", F.pmod(F.xxhash64("pack"), F.lit(slots)).cast("int").alias("slot")
     )
-    tile = F.struct("query_ids", "queries", "least", F.col("width").alias("query_width"))
+    tile = F.struct("pack", "query_ids", "queries", "least", F.col("width").alias("query_width"))
     tiles = (
         index.filter(F.octet_length("query_ids") > 0)
         .groupBy(F.shiftright("pack", 32).alias("task"), F.floor(F.col("pack") % (1 << 32) / TILE_PACKS).alias("tile"))
@@ -249,13 +250,14 @@ def top_k(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
                     search(best, queries, pack)
                     at, rank = np.nonzero(best.filled)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[at]), pa.array(best.found[at, rank]), pa.array(best.scores[at, rank])],
-                        names=["query_id", "vec_id", "score"],
+                        [pa.array(np.full(len(at), part["pack"])), pa.array(at), pa.array(ids[at]),
+                         pa.array(best.found[at, rank]), pa.array(best.scores[at, rank])],
+                        names=["pack", "at", "query_id", "vec_id", "score"],
                     )
 
     pairs = tiles.join(packs, "slot").select("parts", "width", "ids", "vectors", "low", "high")
-    found = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.mapInArrow(score, "pack long, at long, query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("pack", "at").orderBy(F.desc("score"), "vec_id"))
     return (
         found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     )

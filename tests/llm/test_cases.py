@@ -2,6 +2,7 @@
 
 import hashlib
 
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,7 +185,6 @@ def test_language(odd, empty):
 
 
 def test_tokens(odd, empty):
-    import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     out = {r.doc_id: r for r in bpe.digests(odd, path, P.PATTERN).collect()}
@@ -219,10 +219,13 @@ def test_top_k(spark):
         (0, [1.0, 0.0]), (50, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]),
         (5, [nan, 1.0]), (6, [inf, 0.0]), (None, [9.0, 9.0]), (7, [0.25]), (8, []), (0, [1.0, 0.0]), (9, [-1.0, -1.0]),
     ]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns(
+        {c: F.lit(1) for c in ("label", "pack", "score", "near", "v", "query_id")}
+    )
     out = [tuple(r) for r in topk.top_k(table).orderBy("query_id", "rank").collect()]
-    of_0 = [r[2:] for r in out if r[0] == 0]
-    assert of_0[:2] == [(1, 65536), (1, 65536)] or of_0[:3] == [(1, 65536), (2, 65536), (50, 32768)]
+    of_0 = sorted(r[1:] for r in out if r[0] == 0)
+    # Two rows have id 0: each is a query, with its own ranks.
+    assert of_0 == sorted(2 * [(1, 1, 65536), (2, 2, 65536), (3, 50, 32768), (4, 7, 16384), (5, 8, 0)])
     assert [r[2:] for r in out if r[0] == 50] == [(0, 32768), (0, 32768), (1, 32768), (2, 32768), (7, 8192)]
     assert topk.top_k(table.limit(0)).count() == 0
 
@@ -234,3 +237,34 @@ def test_stages(spark, odd, empty, labels, tmp_path, name, stage):
         out = stage(spark, docs, str(tmp_path))
         assert name == "tokens" or out.columns == docs.columns
         assert out.count() <= 2 * len(ROWS)
+
+
+def test_top_k_of_repeated_queries(spark):
+    rows = [(0, [1.0]), (0, [1.0])] + [(i, [1.0 - i / 10]) for i in range(1, 6)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.rank, r.vec_id) for r in out) == sorted(2 * [(i, i) for i in range(1, 6)])
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]"])
+def test_classes_of_every_code_point(pattern):
+    """The vocabulary's library takes the same code points as letters, numbers and signs."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    ranks = {bytes([i]): i for i in range(256)}
+    seen = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(every)
+    assert "".join(bpe.Splitter(pattern)(every)) == bytes(seen).decode()
+
+
+def test_newer_letters_are_encoded_as_by_the_library(spark):
+    import base64
+
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    odd = [int(r.split("-")[0], 16) for r in f"{bpe.NEWER_LETTERS} {bpe.NEWER_NUMBERS}".split()]
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2 !{chr(c)}?" for c in odd]
+    out = bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, P.PATTERN)
+    assert {r.doc_id: list(r.ids) for r in out.collect()} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
