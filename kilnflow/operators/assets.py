@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kilnflow.operators.ordered import (
-    CHUNK,
-    HELPERS,
-    SPLIT,
-    attach,
-    cut,
-    number_rows,
-    previous,
-)
+from kilnflow.operators.ordered import Running, number_rows, previous, running
 
 
 def describe_assets(catalog: DataFrame) -> DataFrame:
@@ -47,23 +39,11 @@ def number_items(
 ) -> DataFrame:
     """1-based position and the total of each group."""
     keys = list(keys)
-    numbered = number_rows(df, keys, order, "position", rows, keep_chunks=True)
-    inside = Window.partitionBy(*keys, SPLIT, CHUNK)
-    out = numbered.withColumn("total", F.max("position").over(inside))
+    count = {"position": Running("count")}
+    numbered = running(df, keys, order, count, rows=rows, whole=["position"] if keys else [])
     if keys:
-        totals = df.transform(_totals_of_split, keys, order, rows)
-        out = attach(out, totals, keys).withColumn("total", F.coalesce("_total", "total"))
-    else:
-        out = out.withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
-        out = out.withColumn("total", F.col("_total"))
-    return out.drop("_total", *HELPERS)
-
-
-def _totals_of_split(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None
-) -> DataFrame:
-    parts = cut(df, list(keys), list(order), rows).where(SPLIT)
-    return parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+        return numbered.withColumnRenamed("position_of_key", "total")
+    return numbered.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
 
 
 def sample_every_n(

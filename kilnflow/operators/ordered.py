@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 CHUNK = "_chunk"
 SPLIT = "_split"
 HELPERS = (CHUNK, SPLIT)
+UNCUT = "uncut"
 
 ROWS_CONF = "spark.kilnflow.rowsPerChunk"
 DEFAULT_ROWS = 1_000_000
@@ -131,7 +132,7 @@ def cut(
     keys, order = list(keys), list(order)
     cuts = _cut_points(df, keys, order, rows or chunk_rows(df.sparkSession))
     if cuts is None:
-        return df.withColumn(CHUNK, F.lit(0)).withColumn(SPLIT, F.lit(False))
+        return df.select("*", F.lit(0).alias(CHUNK, metadata={UNCUT: True}), F.lit(False).alias(SPLIT))
     key = _key_of(keys)
 
     def place(points: Column) -> Column:
@@ -154,6 +155,11 @@ def cut(
     ).drop("_place")
 
 
+def is_whole(df: DataFrame) -> bool:
+    """No key of the output of :func:`cut` has cut points: plain windows do."""
+    return bool(df.schema[CHUNK].metadata.get(UNCUT))
+
+
 def chunk_window(
     keys: Sequence[str], order: Sequence[str], reverse: bool = False
 ) -> WindowSpec:
@@ -206,10 +212,12 @@ def running(
     reverse: bool = False,
     rows: int | None = None,
     keep_chunks: bool = False,
+    whole: Sequence[str] = (),
 ) -> DataFrame:
     """Running aggregates per key; ``reverse`` runs from the last row to the first.
 
-    One shuffle of ``df`` by (key, chunk). ``inclusive=False`` leaves the row itself out.
+    One shuffle of ``df`` by (key, chunk). ``inclusive=False`` leaves the row itself out. Of the
+    names in ``whole`` the aggregate of the whole key is added as ``<name>_of_key``.
     """
     keys, order = list(keys), list(order)
     df = cut(df, keys, order, rows)
@@ -217,8 +225,12 @@ def running(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
     local = df.select(
-        "*", *[spec.aggregate().over(frame).alias(name) for name, spec in specs.items()]
+        "*",
+        *[spec.aggregate().over(frame).alias(name) for name, spec in specs.items()],
+        *[specs[n].aggregate().over(Window.partitionBy(*keys, SPLIT, CHUNK)).alias(f"{n}_of_key") for n in whole],
     )
+    if is_whole(df):
+        return local if keep_chunks else local.drop(*HELPERS)
     totals = (
         df.where(SPLIT)
         .groupBy(*keys, CHUNK)
@@ -232,11 +244,13 @@ def running(
             spec.merge(f"_t_{name}").over(before).alias(f"_c_{name}")
             for name, spec in specs.items()
         ],
+        *[specs[n].merge(f"_t_{n}").over(Window.partitionBy(*keys)).alias(f"_w_{n}") for n in whole],
     )
     joined = attach(local, carried, [*keys, CHUNK])
     out = joined.withColumns(
         {n: spec.add(F.col(n), F.col(f"_c_{n}")) for n, spec in specs.items()}
-    ).drop(*[f"_c_{name}" for name in specs])
+        | {f"{n}_of_key": F.coalesce(f"_w_{n}", f"{n}_of_key") for n in whole}
+    ).drop(*[f"_c_{name}" for name in specs], *[f"_w_{n}" for n in whole])
     return out if keep_chunks else out.drop(*HELPERS)
 
 
@@ -272,6 +286,9 @@ def previous(
         F.lag(value).over(local_window).alias(name),
         F.row_number().over(local_window).alias("_rank"),
     )
+    if is_whole(df):
+        out = local.drop("_rank")
+        return out if keep_chunks else out.drop(*HELPERS)
     last = (
         df.where(SPLIT)
         .groupBy(*keys, CHUNK)
@@ -305,42 +322,3 @@ def first_rows(
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("_rank", "_v")))["_v"].alias(name))
     )
-
-
-def chunk_edges(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, first: int
-) -> DataFrame:
-    """For each chunk of a split key: rows before it, the last ``n`` values before it, and
-    the first ``first`` values of the key, as ``_before``, ``_tail`` and ``_head``.
-
-    Takes the output of :func:`cut`. A chunk hands over no more than its own first and last
-    values; only chunk 0 can be empty, so ``n`` chunks back and ``first`` + 1 chunks from the
-    start always suffice.
-    """
-    keys, order = list(keys), list(order)
-    ranked = df.where(SPLIT).select(
-        *keys,
-        SPLIT,
-        CHUNK,
-        F.col(value).alias("_v"),
-        F.row_number().over(chunk_window(keys, order)).alias("_rank"),
-        F.row_number().over(chunk_window(keys, order, reverse=True)).alias("_back"),
-    )
-    ends = F.when(F.col("_back") <= n, F.struct((-F.col("_back")).alias("at"), "_v"))
-    starts = F.when(F.col("_rank") <= first, F.struct(F.col("_rank").alias("at"), "_v"))
-    chunks = ranked.groupBy(*keys, SPLIT, CHUNK).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sort_array(F.collect_list(ends))["_v"].alias("_end"),
-        F.sort_array(F.collect_list(starts))["_v"].alias("_start"),
-    )
-    along = across_chunks(keys)
-    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    opening = F.collect_list(F.when(F.col(CHUNK) <= first, F.col("_start"))).over(whole)
-    return chunks.select(
-        *keys,
-        CHUNK,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        last_n(F.flatten(F.collect_list("_end").over(along.rowsBetween(-n, -1))), n).alias("_tail"),
-        F.slice(F.flatten(opening), 1, first).alias("_head"),
-    )

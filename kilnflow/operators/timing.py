@@ -16,20 +16,28 @@ from kilnflow.functions.rates import ratio
 from kilnflow.operators.ordered import (
     CHUNK,
     HELPERS,
+    SPLIT,
     Running,
+    across_chunks,
     attach,
-    chunk_edges,
     chunk_window,
     cut,
     first_rows,
+    is_whole,
     last_n,
     previous,
     running,
 )
+from kilnflow.session import staged
 
 SESSION = ("session_id",)
 ORDER = ("ts", "event_id")
 
+#: Columns of rows that a stream has handled before: how many items a row stands for, and how
+#: many items ago the last slow one was.
+STEP = "_step"
+AGO = "_ago"
+
 
 def _learned(first: Sequence[Column], window: int) -> Column:
     """Median of those of the first three timings that a window holds at the third."""
@@ -55,7 +63,7 @@ def learn_baseline(
     return heads.select(*keys, _learned(first, window).alias("baseline"))
 
 
-def _item_state(
+def item_state(
     log: DataFrame,
     window: int,
     threshold: float,
@@ -65,9 +73,22 @@ def _item_state(
     elapsed: str,
     rows: int | None,
 ) -> DataFrame:
-    """Per item: position, state after it (mean, ratio, ...) and the flag before it."""
+    """Per item: position, state after it (mean, ratio, ...), the flag before it, and ``_opened``,
+    the last flagged position before it.
+
+    With cut keys the rows move once: everything that a chunk knows by itself is computed in its
+    window and written, and what it needs of the chunks before it is made from the first and
+    last rows of each, read back by rank. Rows with ``STEP`` were handled before: they count as
+    that many items, and their flag is not computed again.
+    """
     keys, order = list(keys), list(order)
+    resumed = STEP in log.columns
     log = cut(log, keys, order, rows)
+    whole = is_whole(log)
+    kept = [c for c in log.columns if c not in HELPERS]
+    if not whole:
+        heads = first_rows(log.where(SPLIT), keys, order, elapsed, 3, "_head")
+        log = attach(log, heads, keys)
     ordered = chunk_window(keys, order)
     upto = ordered.rowsBetween(-(window - 1), 0)
     ahead = ordered.rowsBetween(-window, -1)
@@ -75,58 +96,78 @@ def _item_state(
     out = log.select(
         "*",
         F.row_number().over(ordered).alias("_rank"),
+        (F.sum(F.coalesce(STEP, F.lit(1))).over(so_far) if resumed else F.row_number().over(ordered))
+        .cast("long").alias("_at"),
         F.collect_list(elapsed).over(upto).alias("_recent"),
         F.sum(elapsed).over(upto).alias("_sum"),
         F.max(elapsed).over(upto).alias("_max"),
         F.max(elapsed).over(ahead).alias("_past_max"),
         *[F.nth_value(elapsed, i).over(so_far).alias(f"_first{i}") for i in (1, 2, 3)],
+        *([] if whole else [F.lead(F.lit(True), window).over(ordered).isNull().alias("_ends")]),
     )
-    out = attach(out, chunk_edges(log, keys, order, elapsed, window, 3), [*keys, CHUNK])
-
-    # Rows near the start of a later chunk look back into the chunks before it: what their
-    # own chunk lacks of the window comes from the tail.
-    rank = F.col("_rank")
-    reaches_back = F.col("_tail").isNotNull() & (rank <= window)
-    lacking = last_n(F.col("_tail"), F.greatest(F.lit(window) - rank, F.lit(0)))
-    lacking_past = last_n(F.col("_tail"), F.lit(window + 1) - rank)
-    held_sum = F.aggregate(lacking, F.lit(0.0), lambda a, b: a + b) + F.col("_sum")
-    out = out.withColumns(
-        {
-            "seq": rank + F.coalesce(F.col("_before"), F.lit(0)),
-            "recent_times": F.when(reaches_back, F.concat(lacking, F.col("_recent"))).otherwise(
-                F.col("_recent")
-            ),
+
+    # The first rows of a later chunk are decided when the chunks before it are known.
+    early = max(window, 3)
+    decided = F.lit(True) if whole else ~F.col(SPLIT) | (F.col("_rank") > early)
+    if baseline is None:
+        first = [F.col(f"_first{i}") for i in (1, 2, 3)]
+        if not whole:
+            first = [F.when(F.col(SPLIT), F.get("_head", F.lit(i))).otherwise(f) for i, f in enumerate(first)]
+        known = _learned(first, window)
+    else:
+        known = F.lit(float(baseline))
+
+    def base(seq: Column, from_item: int) -> Column:
+        return known if baseline is not None else F.when(seq >= from_item, known)
+
+    def is_slow(past_max: Column, seq: Column) -> Column:
+        return F.coalesce(F.try_divide(past_max, base(seq, 4)) >= threshold, F.lit(False))
+
+    new = F.col(STEP).isNull() if resumed else F.lit(True)
+    slow = new & is_slow(F.col("_past_max"), F.col("_at"))
+    mark = F.when(decided & slow, F.col("_at"))
+    if resumed:
+        mark = F.coalesce(F.when(decided, F.col("_at") - F.col(AGO)), mark)
+    out = out.withColumn("_mark", mark).withColumn(
+        "_opened", F.max("_mark").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    if whole:
+        out = out.withColumns({
+            "seq": F.col("_at"), "recent_times": F.col("_recent"), "recent_max": F.col("_max"),
+            "recent_mean": F.col("_sum") / F.least("_rank", F.lit(window)), "_slow": slow,
+        })
+    else:
+        out = staged(out.withColumn("_known", known), "item-state")
+        known = F.col("_known")
+        edges = _chunk_edges(out, window, early, keys, elapsed, threshold, baseline is None, resumed)
+        out = attach(out, edges, [*keys, CHUNK])
+        # What a row's own chunk lacks of the window comes from the tail.
+        rank = F.col("_rank")
+        reaches_back = F.col("_tail").isNotNull() & (rank <= window)
+        lacking = last_n(F.col("_tail"), F.greatest(F.lit(window) - rank, F.lit(0)))
+        lacking_past = last_n(F.col("_tail"), F.lit(window + 1) - rank)
+        held_sum = F.aggregate(lacking, F.lit(0.0), lambda a, b: a + b) + F.col("_sum")
+        before = F.coalesce(F.col("_before"), F.lit(0))
+        early_marks = F.filter("_early", lambda e: e["rank"] < rank)
+        out = out.withColumns({
+            "seq": F.col("_at") + before,
+            "recent_times": F.when(reaches_back, F.concat(lacking, F.col("_recent"))).otherwise(F.col("_recent")),
             "recent_mean": F.when(reaches_back, held_sum / (F.size(lacking) + rank)).otherwise(
                 F.col("_sum") / F.least(rank, F.lit(window))
             ),
-            "recent_max": F.when(
-                reaches_back, F.greatest(F.array_max(lacking), F.col("_max"))
-            ).otherwise(F.col("_max")),
+            "recent_max": F.when(reaches_back, F.greatest(F.array_max(lacking), F.col("_max"))).otherwise(F.col("_max")),
             "_past_max": F.when(
                 reaches_back, F.greatest(F.array_max(lacking_past), F.col("_past_max"))
             ).otherwise(F.col("_past_max")),
-        }
-    )
-
-    if baseline is None:
-        first = [
-            F.when(F.col("_head").isNull(), F.col(f"_first{i + 1}")).otherwise(
-                F.get("_head", F.lit(i))
-            )
-            for i in range(3)
-        ]
-        known = _learned(first, window)
-        after, before = (
-            F.when(F.col("seq") >= 3, known),
-            F.when(F.col("seq") > 3, known),
-        )
-    else:
-        after, before = F.lit(float(baseline)), F.lit(float(baseline))
+            "_opened": F.greatest(
+                F.col("_opened") + before, F.col("_opened_before"),
+                F.array_max(F.transform(early_marks, lambda e: e["at"])) + before,
+            ),
+        })
+        out = out.withColumn("_slow", new & is_slow(F.col("_past_max"), F.col("seq")))
     performance = F.try_divide(F.col("baseline"), F.col("recent_mean"))
-    slowdown = F.try_divide(F.col("_past_max"), before)
-    return out.withColumn("baseline", after).select(
-        *[c for c in log.columns if c not in HELPERS],
-        *HELPERS,
+    return out.withColumn("baseline", base(F.col("seq"), 3)).select(
+        *kept,
         "seq",
         "baseline",
         *[
@@ -135,8 +176,53 @@ def _item_state(
         ],
         performance.alias("performance_ratio"),
         (performance < F.lit(1.0 / threshold)).alias("is_throttled"),
-        slowdown.alias("slowdown_before"),
-        F.coalesce(slowdown >= threshold, F.lit(False)).alias("needs_break"),
+        F.try_divide(F.col("_past_max"), base(F.col("seq"), 4)).alias("slowdown_before"),
+        F.col("_slow").alias("needs_break"),
+        "_opened",
+    )
+
+
+def _chunk_edges(
+    state: DataFrame, window: int, early: int, keys: list[str], elapsed: str, threshold: float, learns: bool, resumed: bool
+) -> DataFrame:
+    """What each chunk of a cut key needs of those before it, from the written ``state``.
+
+    Items and the last timings before it (``_before``, ``_tail``), the last flagged position
+    before it (``_opened_before``), and its own first rows that are flagged (``_early``). Only
+    chunk 0 can be empty, so ``window`` chunks back always suffice.
+    """
+    rank, at = F.col("_rank"), F.col("_at")
+    ends = state.where(SPLIT).where(F.col("_ends") | (rank <= early))
+    new = F.col(STEP).isNull() if resumed else F.lit(True)
+    ago = (at - F.col(AGO)) if resumed else F.lit(None).cast("long")
+    opening = F.struct(rank.alias("rank"), F.col(elapsed).alias("v"), at.alias("at"), new.alias("new"), ago.alias("marked"))
+    chunks = ends.groupBy(*keys, SPLIT, CHUNK).agg(
+        F.max("_at").alias("_n"),
+        F.greatest(F.max("_opened"), F.max("_mark")).alias("_marked"),
+        F.max("_known").alias("_known"),
+        F.sort_array(F.collect_list(F.when(F.col("_ends"), F.struct("_rank", F.col(elapsed).alias("v")))))["v"].alias("_end"),
+        F.sort_array(F.collect_list(F.when(rank <= early, opening))).alias("_start"),
+    )
+    along = across_chunks(keys)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(
+        *keys, CHUNK, "_start", "_marked", "_known",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        last_n(F.flatten(F.collect_list("_end").over(along.rowsBetween(-window, -1))), window).alias("_tail"),
+    )
+
+    def decided(e: Column) -> Column:
+        """The row with its position in the chunk if it is flagged."""
+        own = F.transform(F.filter("_start", lambda o: o["rank"] < e["rank"]), lambda o: o["v"])
+        past = F.array_max(last_n(F.concat(F.coalesce("_tail", F.array().cast("array<double>")), own), F.lit(window)))
+        known = F.when(F.col("_before") + e["at"] > 3, F.col("_known")) if learns else F.col("_known")
+        flagged = e["new"] & F.coalesce(F.try_divide(past, known) >= threshold, F.lit(False))
+        return F.struct(e["rank"].alias("rank"), F.coalesce(F.when(flagged, e["at"]), e["marked"]).alias("at"))
+
+    chunks = chunks.withColumn("_early", F.filter(F.transform("_start", decided), lambda e: e["at"].isNotNull()))
+    marks = F.greatest(F.col("_marked"), F.array_max(F.transform("_early", lambda e: e["at"]))) + F.col("_before")
+    return chunks.withColumn("_marks", marks).select(
+        *keys, CHUNK, "_before", "_tail", "_early", F.max("_marks").over(before).alias("_opened_before")
     )
 
 
@@ -151,8 +237,8 @@ def rolling_state(
     rows: int | None = None,
 ) -> DataFrame:
     """State after each item over the last ``window`` timings; null before a baseline."""
-    state = _item_state(log, window, threshold, baseline, keys, order, elapsed, rows)
-    return state.drop(*HELPERS, "slowdown_before", "needs_break")
+    state = item_state(log, window, threshold, baseline, keys, order, elapsed, rows)
+    return state.drop("slowdown_before", "needs_break", "_opened")
 
 
 def needs_break(
@@ -166,7 +252,7 @@ def needs_break(
     rows: int | None = None,
 ) -> DataFrame:
     """Flag before each item: slowest recent timing at or over threshold x baseline."""
-    state = _item_state(log, window, threshold, baseline, keys, order, elapsed, rows)
+    state = item_state(log, window, threshold, baseline, keys, order, elapsed, rows)
     kept = [c for c in log.columns if c not in HELPERS]
     return state.select(*kept, "seq", "slowdown_before", "needs_break")
 
@@ -190,24 +276,24 @@ def break_schedule(
     the last flagged item alone: after it, and after every ``batch_size`` items, the count
     starts again. ``batch_size=None`` plans slow-down breaks only.
     """
-    keys, order = list(keys), list(order)
-    state = _item_state(log, window, threshold, baseline, keys, order, elapsed, rows)
+    state = item_state(log, window, threshold, baseline, keys, order, elapsed, rows)
+    return scheduled(state, batch_size, batch_cooling_s, cooling_s).drop("_opened")
+
+
+def scheduled(
+    state: DataFrame, batch_size: int | None, batch_cooling_s: int, cooling_s: int
+) -> DataFrame:
+    """The breaks of items whose state is known."""
     if batch_size is None:
         boundary = F.lit(False)
     else:
-        flagged = F.when(F.col("needs_break"), F.col("seq"))
-        state = running(
-            state, keys, order, {"_opened": Running("max", flagged)},
-            inclusive=False, keep_chunks=True,
-        )
         since = F.col("seq") - F.coalesce(F.col("_opened"), F.lit(1))
         boundary = (F.col("seq") > 1) & (since % batch_size == 0)
-    at_boundary = boundary.alias("at_batch_boundary")
     takes = F.col("needs_break") | boundary
     duration = F.when(boundary, batch_cooling_s).when(F.col("needs_break"), cooling_s).otherwise(0)
-    return state.drop(*HELPERS).select(
-        *[c for c in state.columns if c not in (*HELPERS, "_opened")],
-        at_boundary,
+    return state.select(
+        "*",
+        boundary.alias("at_batch_boundary"),
         takes.alias("takes_break"),
         duration.alias("cooling_s"),
     )
@@ -286,6 +372,42 @@ def pair_start_end(
     )
 
 
+def component_times(
+    events: DataFrame,
+    keys: Sequence[str] = ("run_id",),
+    order: Sequence[str] = ("ts", "seq"),
+    resets: str | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """At each end: segment, elapsed seconds, and the component's percent of the run so far.
+
+    A component counts with its last elapsed time; a reset forgets all of them. The percent is
+    null while the times sum to 0. ``resets`` names a column that says how many resets a
+    reset row stands for. Times are added up in microseconds, exactly.
+    """
+    keys, order = list(keys), list(order)
+    weight = F.coalesce(F.col(resets), F.lit(1)) if resets else F.lit(1)
+    step = F.when(F.col("kind") == "reset", weight).otherwise(0)
+    seen = running(events, keys, order, {"segment": Running("sum", step)}, rows=rows)
+    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    started = F.when(F.col("kind") == "start", F.struct(*order, micros.alias("us")))
+    inside = [*keys, "segment"]
+    paired = running(seen, [*inside, "component"], order, {"_start": Running("max", started)}, rows=rows)
+    ends = paired.where(F.col("kind") == "end").withColumn("_us", micros - F.col("_start.us"))
+    earlier = previous(ends, [*inside, "component"], order, "_us", "_earlier", rows)
+    change = F.coalesce(F.col("_us"), F.lit(0)) - F.coalesce(F.col("_earlier"), F.lit(0))
+    total = running(earlier, inside, order, {"_total": Running("sum", change)}, rows=rows)
+    of_component = F.coalesce(F.col("_us"), F.lit(0))
+    return total.select(
+        *[c for c in events.columns if c != "kind"],
+        "segment",
+        (of_component / 1e6).alias("elapsed_s"),
+        F.col("_start").isNotNull().alias("matched"),
+        (of_component / F.nullif("_total", F.lit(0)) * 100).alias("percent"),
+        "_start",
+    )
+
+
 def latest_per_component(
     times: DataFrame, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("seq",)
 ) -> DataFrame:

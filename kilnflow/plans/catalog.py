@@ -14,7 +14,7 @@ from kilnflow.operators import assets, audit, edits, infer, lookups, naming, req
 from kilnflow.plans import feeds
 from kilnflow.session import scratch_path, table
 from kilnflow.sources import files
-from kilnflow.streaming import progress, stateful
+from kilnflow.streaming import carried, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,7 +165,7 @@ def s7(spark: SparkSession, sf: str) -> DataFrame:
 def s7_stream(spark: SparkSession, sf: str) -> DataFrame:
     events = files.read_state_events(spark, _write_state_events(spark, sf), stream=True)
     path = scratch_path(spark, "events-read")
-    stateful.run_available(_shown_state_events(events), path, scratch_path(spark, "events-state"))
+    carried.run_available(_shown_state_events(events), path, scratch_path(spark, "events-state"))
     return spark.read.parquet(path)
 
 
@@ -736,6 +736,8 @@ def v3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STREAM_BYTES_CONF = "spark.kilnflow.maxBytesPerTrigger"
+#: The queries show every key; a running stream forgets sooner.
+NEVER = "1000 years"
 
 
 def _event_stream(spark: SparkSession, sf: str, batch_bytes: str = str(1 << 30)) -> DataFrame:
@@ -751,28 +753,43 @@ def _event_stream(spark: SparkSession, sf: str, batch_bytes: str = str(1 << 30))
     )
 
 
-def _run(
-    spark: SparkSession,
-    sf: str,
-    make: Callable[[DataFrame], DataFrame],
-    name: str,
-    mode: str = "append",
-) -> str:
-    """Run a stream over the events there are; gives the folder with its output."""
-    session = stateful.stateful_session(spark)
+def _stream(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], sink: progress.Sink, name: str) -> None:
+    """Run a stream over the events there are, batch by batch into ``sink``."""
+    events = _event_stream(spark, sf, spark.conf.get(STREAM_BYTES_CONF, str(1 << 30)))
+    carried.run_available(make(events), "", scratch_path(spark, f"{name}-checkpoint"), sink=sink)
+
+
+def _appended(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The rows that a stream in append mode has written."""
+    events = _event_stream(spark, sf, spark.conf.get(STREAM_BYTES_CONF, str(1 << 30)))
+    path = scratch_path(spark, name)
+    carried.run_available(make(events), path, scratch_path(spark, f"{name}-checkpoint"))
+    return spark.read.parquet(path)
+
+
+def _stepped(
+    spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], step: carried.Step, name: str
+) -> DataFrame:
+    """The rows that a carrying stream has sent."""
     path = scratch_path(spark, name)
-    sink = None if mode == "append" else progress.parquet_sink(path)
-    stream = make(_event_stream(session, sf, spark.conf.get(STREAM_BYTES_CONF, str(1 << 30))))
-    stateful.run_available(stream, path, scratch_path(spark, f"{name}-state"), mode, sink)
-    return path
+    sink = carried.carrying(spark, scratch_path(spark, f"{name}-state"), step, progress.parquet_sink(path))
+    _stream(spark, sf, make, sink, name)
+    return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*").drop("batch_id")
+
+
+def _newest(
+    spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], step: carried.Step, name: str
+) -> DataFrame:
+    """The table of newest rows that a stream keeps."""
+    state = scratch_path(spark, f"{name}-state")
+    _stream(spark, sf, make, carried.keep_newest(spark, state, step), name)
+    return carried.Versions(spark, state).newest()
 
 
 @query("T1_latest_state")
 def t1(spark: SparkSession, sf: str) -> DataFrame:
-    path = _run(
-        spark, sf, lambda e: progress.latest_state(feeds.as_state_events(e)), "latest", "update"
-    )
-    return progress.read_upserts(spark, path, ["run_id"]).select(
+    step = carried.newest_step(progress.latest_state, progress.latest_state, forget=NEVER)
+    return _newest(spark, sf, feeds.as_state_events, step, "latest").select(
         "run_id", "seq", "component", "progress", "total", "message", r6("time_per_step")
     )
 
@@ -784,27 +801,20 @@ def t2(spark: SparkSession, sf: str) -> DataFrame:
             "run_id", "seq", "stage_index", r6("percent"), r6("remaining_s"), "remaining"
         )
 
-    return spark.read.parquet(_run(spark, sf, shown, "progress"))
+    return _appended(spark, sf, shown, "progress")
 
 
 @query("T3_stream_component_times")
 def t3(spark: SparkSession, sf: str) -> DataFrame:
-    path = _run(
-        spark, sf,
-        lambda e: stateful.stream_component_times(feeds.as_component_events(e)),
-        "components",
-    )
-    return spark.read.parquet(path).select(
-        "run_id", "segment", "component", "seq", r6("elapsed_s"), "matched"
+    step = carried.component_times_step(forget=NEVER)
+    return _stepped(spark, sf, feeds.as_component_events, step, "components").select(
+        "run_id", "segment", "component", "seq", r6("elapsed_s"), "matched", r6("percent")
     )
 
 
 @query("T4_stream_thermal")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
-    path = _run(
-        spark, sf, lambda e: stateful.stream_thermal(feeds.as_timing_log(e)), "thermal"
-    )
-    return spark.read.parquet(path).select(
+    return _stepped(spark, sf, feeds.as_timing_log, carried.thermal_step(forget=NEVER), "thermal").select(
         "session_id", "event_id", "seq", r6("baseline"), r6("performance_ratio"),
         "is_throttled", "needs_break", "takes_break", "cooling_s",
     )
@@ -812,10 +822,8 @@ def t4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T5_run_status")
 def t5(spark: SparkSession, sf: str) -> DataFrame:
-    path = _run(
-        spark, sf, lambda e: progress.run_status(feeds.as_state_events(e)), "status", "update"
-    )
-    return progress.read_upserts(spark, path, ["run_id"])
+    step = carried.newest_step(progress.status_parts, progress.merge_status, forget=NEVER)
+    return _newest(spark, sf, feeds.as_state_events, step, "status").drop("ts", "seq")
 
 
 @query("T6_idle_sessions")
@@ -827,36 +835,51 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T6_open_sessions_stream")
 def t6_open(spark: SparkSession, sf: str) -> DataFrame:
-    path = _run(
-        spark, sf, lambda e: progress.open_sessions(feeds.as_idle_events(e)), "open", "update"
+    step = carried.newest_step(
+        progress.open_sessions, progress.merge_sessions, at="last_seen", forget=NEVER
+    )
+    return _newest(spark, sf, feeds.as_idle_events, step, "open").select(
+        "user_id", day_time("started"), day_time("last_seen"), "events"
     )
-    return progress.read_upserts(spark, path, ["user_id"]).select(
+
+
+@query("T6_closed_sessions_stream")
+def t6_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that the watermark has closed when the events there are have been read."""
+    def closed(events: DataFrame) -> DataFrame:
+        return progress.idle_windows(feeds.as_idle_events(events), watermark="1 hour")
+
+    return _appended(spark, sf, closed, "closed").select(
         "user_id", day_time("started"), day_time("last_seen"), "events"
     )
 
 
 @query("T7_fan_out")
 def t7(spark: SparkSession, sf: str) -> DataFrame:
-    first, second = scratch_path(spark, "fan-a"), scratch_path(spark, "fan-b")
+    """Two receivers get everything; a third fails, stays out over a restart, and is replayed."""
+    first, second, third = (scratch_path(spark, f"fan-{n}") for n in "abc")
+    ledger = progress.Ledger(spark, scratch_path(spark, "fan-ledger"))
 
     def broken(batch: DataFrame, batch_id: int) -> None:
         raise OSError("receiver gone")
 
-    deliver = progress.fan_out(
-        {
-            "first": progress.parquet_sink(first),
-            "broken": broken,
-            "second": progress.parquet_sink(second),
-        }
-    )
-    events = _event_stream(spark, sf, spark.conf.get(STREAM_BYTES_CONF, str(1 << 30)))
-    stream = feeds.as_state_events(events).select("run_id", "seq", "component")
-    stateful.run_available(stream, "", scratch_path(spark, "fan-state"), sink=deliver)
+    def sinks(last: progress.Sink) -> dict[str, progress.Sink]:
+        return {"first": progress.parquet_sink(first), "third": last, "second": progress.parquet_sink(second)}
+
+    def shown(events: DataFrame) -> DataFrame:
+        return feeds.as_state_events(events).select("run_id", "seq", "component")
+
+    checkpoint = scratch_path(spark, "fan-checkpoint")
+    for last in (broken, progress.parquet_sink(third)):
+        events = _event_stream(spark, sf, spark.conf.get(STREAM_BYTES_CONF, str(1 << 30)))
+        carried.run_available(shown(events), "", checkpoint, sink=progress.fan_out(sinks(last), ledger=ledger))
+    progress.replay(ledger, "third", progress.parquet_sink(third), first)
 
     def received(name: str, path: str) -> DataFrame:
-        return spark.read.parquet(path).select(F.lit(name).alias("receiver"), "run_id", "seq", "component")
+        rows = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
+        return rows.select(F.lit(name).alias("receiver"), "run_id", "seq", "component")
 
-    return received("first", first).union(received("second", second))
+    return received("first", first).union(received("second", second)).union(received("third", third))
 
 
 # --- caller's functions -----------------------------------------------------------------

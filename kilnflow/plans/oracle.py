@@ -811,8 +811,17 @@ SQL["T2_stream_progress"] = _with("state_events") + f"""
     from timed"""
 
 SQL["T3_stream_component_times"] = _with("segments") + PAIRED + """
+    , counted as (select *, cast(round(elapsed_s * 1e6) as bigint) as us from ended)
+    , changed as (
+        select *, us - coalesce(lag(us) over (partition by run_id, segment, component
+                                              order by ts, seq), 0) as change from counted)
+    , summed as (
+        select *, sum(change) over (partition by run_id, segment order by ts, seq
+                                    rows unbounded preceding) as total from changed)
+    , shared as (
+        select *, case when total <> 0 then us / total * 100.0e0 end as percent from summed)
     select run_id, cast(segment as bigint) as segment, component, seq,
-           round(elapsed_s, 6) as elapsed_s, matched from ended"""
+           round(elapsed_s, 6) as elapsed_s, matched, round(percent, 6) as percent from shared"""
 
 SQL["T4_stream_thermal"] = _with("plan") + """
     select t.session_id, t.event_id, t.seq, case when t.seq >= 3 then round(b, 6) end as baseline,
@@ -855,9 +864,25 @@ SQL["T6_open_sessions_stream"] = IDLE + f"""
            count(*) as events
     from idle where gap_s is null group by user_id"""
 
+SQL["T6_closed_sessions_stream"] = IDLE + f"""
+    , timed as (select * from idle where gap_s is not null)
+    , seen as (select *, lag(ts) over (partition by user_id order by ts, event_id) as before
+               from timed)
+    , numbered as (
+        select *, sum(case when before is null
+                             or epoch_us(ts) - epoch_us(before) >= cast(gap_s as bigint) * 1000000
+                           then 1 else 0 end)
+                  over (partition by user_id order by ts, event_id rows unbounded preceding)
+                  as session_no from seen)
+    select user_id, strftime(min(ts), {TIME}) as started, strftime(max(ts), {TIME}) as last_seen,
+           count(*) as events
+    from numbered group by user_id, session_no, gap_s
+    having epoch_us(max(ts)) + cast(gap_s as bigint) * 1000000
+           <= (select epoch_us(max(ts)) from timed) - 3600000000"""
+
 SQL["T7_fan_out"] = _with("state_events") + """
     select receiver, run_id, seq, component
-    from state_events cross join (select unnest(['first', 'second']) as receiver)"""
+    from state_events cross join (select unnest(['first', 'second', 'third']) as receiver)"""
 
 SQL["U1_batch_infer"] = """
     select vec_id, round(sqrt(list_sum(list_transform(embedding,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,48 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Spark itself sees them."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _folder(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    files, where = _folder(spark, path)
+    files.delete(where, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A :func:`staged` whose tables are removed at the end; they are read in ``spark``."""
+    root = scratch_path(spark, "work")
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        path = f"{root}/{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield stage
+    finally:
+        remove(spark, root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
