@@ -9,12 +9,18 @@ it skips; the k-th request then gets the k-th index that is not skipped.
 * Which requested names are skipped follows from one pass over the *distinct* colliding
   names of a slug, never over its requests. Slugs without such names, nearly all, take no
   part in it.
+* That pass counts the skips so far. What one colliding index does to the count is to raise it
+  by one if it lies in some interval, and what a run of indexes does is to raise it by a
+  number that depends on the count before the run only: a short list of steps. So a slug with
+  many colliding names is cut into runs. Their lists are made in parallel, the count is handed
+  from list to list, and then every run is walked from its own count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +31,9 @@ from kilnflow.session import staged
 COUNTED = r"^(.+)_([1-9][0-9]*)$"
 SUFFIXES = r"((_[1-9][0-9]*)*)$"
 FOLD_SCHEMA = "slug string, j long, skipped boolean, taken boolean"
+#: Colliding names of a run.
+RUN = 4096
+_FOREVER = np.iinfo(np.int64).max
 
 
 def _stem(name: Column) -> Column:
@@ -42,17 +51,18 @@ def _depth(slug: Column) -> Column:
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per slug, in index order: is each contested index skipped, or taken by a request?
+    """Per run, in index order: is each contested index skipped, or taken by a request?
 
-    Rows come sorted by slug and index, so one counter is all there is to remember.
+    Rows come sorted by slug and index, and say how many skips came before their run, so one
+    counter is all there is to remember.
     """
     current, skips = None, 0
     for batch in batches:
         skipped, taken = [], []
-        columns = (batch[c] for c in ("slug", "j", "always", "before", "n"))
-        for slug, j, always, before, n in zip(*columns):
-            if slug != current:
-                current, skips = slug, 0
+        columns = (batch[c] for c in ("slug", "part", "start", "j", "always", "before", "n"))
+        for slug, part, start, j, always, before, n in zip(*columns):
+            if (slug, part) != current:
+                current, skips = (slug, part), start
             request = j - skips
             reached = request < n
             skip = bool(reached and (always or before <= request))
@@ -64,6 +74,89 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
+class Steps:
+    """What a run of contested indexes makes of the number of skips before it.
+
+    From ``at[i]`` on the run adds ``by[i]`` skips. An index adds one where the count so far is
+    in an interval; as counts never change their order, that is one interval of starts.
+    """
+
+    def __init__(self) -> None:
+        self.at, self.by = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def then(self, low: int, high: int) -> None:
+        """Add one where the count so far is from ``low`` to ``high``."""
+        for bound in (low, high + 1 if high < _FOREVER else None):
+            if bound is None:
+                continue
+            # The first start whose count has reached the bound; a step may leap over it.
+            i = int(np.searchsorted(self.at + self.by, bound, "left")) - 1
+            start = bound - self.by[i]
+            if i >= 0 and (i + 1 == len(self.at) or start < self.at[i + 1]):
+                self.at = np.insert(self.at, i + 1, start)
+                self.by = np.insert(self.by, i + 1, self.by[i])
+        counts = self.at + self.by
+        self.by[(counts >= low) & (counts <= high)] += 1
+
+    def after(self, start: int) -> int:
+        return start + int(self.by[np.searchsorted(self.at, start, "right") - 1])
+
+
+STEPS_SCHEMA = "slug string, part long, at array<long>, by array<long>"
+
+
+def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The steps of every run."""
+    current, steps = None, Steps()
+
+    def made() -> pd.DataFrame:
+        return pd.DataFrame({"slug": [current[0]], "part": [current[1]], "at": [steps.at], "by": [steps.by]})
+
+    for batch in batches:
+        columns = (batch[c] for c in ("slug", "part", "j", "always", "before", "n"))
+        for slug, part, j, always, before, n in zip(*columns):
+            if (slug, part) != current:
+                if current is not None:
+                    yield made()
+                current, steps = (slug, part), Steps()
+            # Reached while j - skips < n, and skipped if always or before <= j - skips.
+            steps.then(max(0, j - n + 1), _FOREVER if always else j - before)
+    if current is not None:
+        yield made()
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The skips before every run but the first, from the steps of those before it in order."""
+    current, skips = None, 0
+    for batch in batches:
+        starts = []
+        for slug, at, by in zip(batch["slug"], batch["at"], batch["by"]):
+            if slug != current:
+                current, skips = slug, 0
+            steps = Steps()
+            steps.at, steps.by = np.asarray(at, np.int64), np.asarray(by, np.int64)
+            skips = steps.after(skips)
+            starts.append(skips)
+        yield pd.DataFrame({"slug": batch["slug"], "part": batch["part"] + 1, "start": starts})
+
+
+def _walked(level: DataFrame, run: int, rows: int | None) -> DataFrame:
+    """``level`` (``slug, j, always, before, n``) decided, run by run."""
+    if not level.groupBy("slug").count().where(F.col("count") > run).isEmpty():
+        ranked = number_rows(level, ["slug"], ["j"], "_r", rows)
+        cut = staged(ranked.withColumn("part", F.floor((F.col("_r") - 1) / run)).drop("_r"), "runs")
+        several = cut.where("part > 0").select("slug").distinct()
+        lined = cut.join(several, "slug", "left_semi").repartition("slug", "part").sortWithinPartitions("slug", "part", "j")
+        steps = staged(lined.mapInPandas(_compose, STEPS_SCHEMA), "steps")
+        starts = steps.repartition("slug").sortWithinPartitions("slug", "part").mapInPandas(
+            _chain, "slug string, part long, start long"
+        )
+        placed = cut.join(starts, ["slug", "part"], "left").fillna(0, ["start"])
+    else:
+        placed = level.select("*", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("start"))
+    return placed.repartition("slug", "part").sortWithinPartitions("slug", "part", "j").mapInPandas(_walk, FOLD_SCHEMA)
+
+
 def unique_names(
     requests: DataFrame,
     existing: DataFrame | None = None,
@@ -71,13 +164,15 @@ def unique_names(
     order: Sequence[str] = ("prompt_id",),
     extension: str = ".png",
     rows: int | None = None,
+    run: int = RUN,
 ) -> DataFrame:
     """Add ``name_index`` and ``name`` to each request.
 
     ``existing`` has the stems of files already there in a column ``name``. The requests
     and their slugs are read several times, so both are written to the shared folder when the
-    function is called: hand in names and order, not texts. They move twice, by slug and chunk; a slug held by a third of them is
-    spread over its chunks.
+    function is called: hand in names and order, not texts. They move twice, by slug and chunk;
+    a slug held by a third of them is spread over its chunks, its colliding names over runs of
+    ``run``.
     """
     order = list(order)
     spark = requests.sparkSession
@@ -97,16 +192,22 @@ def unique_names(
         files.select(_stem(F.col("name")), _count(F.col("name")))
     ).where(F.col("_slug").isNotNull() & F.col("j").isNotNull())
     by_file = by_file.join(slugs.select("_slug"), "_slug", "left_semi").distinct()
-    rivals = staged(
+    rivals = (
         slugs.select(_stem(F.col("_slug")).alias("_stem"), _count(F.col("_slug")).alias("j"), "first")
         .where(F.col("_stem").isNotNull() & F.col("j").isNotNull())
-        .join(slugs.select(F.col("_slug").alias("_stem"), "n"), "_stem")
-        .withColumnRenamed("_stem", "_slug")
+        .join(slugs.select(F.col("_slug").alias("_stem")), "_stem")
+    )
+    # A rival stands among the requests of the slug it spells a name of, where it came first.
+    arrivals = rivals.select(
+        F.col("_stem").alias("_slug"), *[F.col(f"first.{c}").alias(c) for c in order], "j", F.lit(0).alias("_own")
     )
+    both = asked.withColumn("_own", F.lit(1)).unionByName(arrivals, allowMissingColumns=True)
+    turns = staged(running(both, ["_slug"], order, {"_k": Running("sum", F.col("_own"))}, rows=rows), "turns")
+    rivals = turns.where("_own = 0").select("_slug", "j", F.col("_k").alias("before"))
+    numbered = turns.where("_own = 1")
     skips = by_file
     if not rivals.isEmpty():
-        skips = _contested(asked, by_file, rivals, slugs, order, rows)
-    numbered = number_rows(asked, ["_slug"], order, "_k", rows)
+        skips = _contested(by_file, rivals, slugs, run, rows)
     moved = _shifted(numbered, skips, slugs, requests.columns, rows or chunk_rows(spark))
     index = F.col("_at") + F.col("_shift")
     counted = F.concat("_slug", F.lit("_"), index.cast("string"))
@@ -160,32 +261,13 @@ def _shifted(
 
 
 def _contested(
-    asked: DataFrame,
-    by_file: DataFrame,
-    rivals: DataFrame,
-    slugs: DataFrame,
-    order: list[str],
-    rows: int | None,
+    by_file: DataFrame, rivals: DataFrame, slugs: DataFrame, run: int, rows: int | None
 ) -> DataFrame:
-    """Skipped indexes of every slug when some slugs spell names of others."""
-    # Requests of the slug made before the rival's first one.
-    turns = asked.select("_slug", *order, F.lit(1).alias("_own"))
-    arrivals = rivals.select(
-        "_slug", *[F.col(f"first.{c}").alias(c) for c in order], F.lit(0).alias("_own"), "j"
-    )
-    before = (
-        running(
-            turns.join(rivals.select("_slug").distinct(), "_slug", "left_semi").unionByName(
-                arrivals, allowMissingColumns=True
-            ),
-            ["_slug"],
-            order,
-            {"before": Running("sum", F.col("_own"))},
-            rows=rows,
-        )
-        .where(F.col("_own") == 0)
-        .select("_slug", "j", F.lit(False).alias("always"), "before")
-    )
+    """Skipped indexes of every slug when some slugs spell names of others.
+
+    ``rivals`` has the requests of the slug ``before`` the rival's first one.
+    """
+    before = rivals.select("_slug", "j", F.lit(False).alias("always"), "before")
     fixed = by_file.join(rivals.select("_slug").distinct(), "_slug", "left_semi").select(
         "_slug", "j", F.lit(True).alias("always"), F.lit(None).cast("long").alias("before")
     )
@@ -213,15 +295,8 @@ def _contested(
             level = level.unionByName(own).groupBy("_slug", "j", "n").agg(
                 F.bool_or("always").alias("always"), F.min("before").alias("before")
             )
-        done = staged(
-            level.select(
-                F.col("_slug").alias("slug"), "j", "always",
-                F.coalesce("before", F.lit(0)).alias("before"), "n",
-            )
-            .repartition("slug")
-            .sortWithinPartitions("slug", "j")
-            .mapInPandas(_walk, FOLD_SCHEMA)
-        )
+        columns = (F.col("_slug").alias("slug"), "j", "always", F.coalesce("before", F.lit(0)).alias("before"), "n")
+        done = staged(_walked(level.select(*columns), run, rows))
         walked = done if walked is None else walked.unionByName(done)
         gone = done.where("taken and j > 0").select(
             F.concat("slug", F.lit("_"), F.col("j").cast("string")).alias("_slug")
