@@ -100,12 +100,26 @@ def _stack_carries(totals: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _side() -> Column:
+    return F.pow(F.lit(2.0), F.col("grid"))
+
+
 def _cell(value: Column, side: Column) -> Column:
     return F.floor(value / side)
 
 
+#: Distinct pieces of regions that a point is compared with in a cell; a cell with more is
+#: quartered, at most so many times.
+CELL_PIECES = 64
+QUARTERINGS = 40
+
+
 def region_mask(
-    points: DataFrame, regions: DataFrame, by: Sequence[str] = ()
+    points: DataFrame,
+    regions: DataFrame,
+    by: Sequence[str] = (),
+    cell_pieces: int = CELL_PIECES,
+    quarterings: int = QUARTERINGS,
 ) -> DataFrame:
     """Points inside any region, edges included, each once, with mask value 255.
 
@@ -115,61 +129,83 @@ def region_mask(
     covers whole needs no comparison; the others compare with the distinct pieces of regions
     inside them. The points then meet the coordinates found by an equi join.
 
+    Where many regions crowd, a cell would hold them all. A cell with more than ``cell_pieces``
+    distinct pieces is quartered, pieces and points, until none has more: overlapping pieces
+    soon cover a quarter whole, others are parted. So a point meets that many pieces for each
+    grid in use at most, but for pieces that crowd in a cell 2^``quarterings`` times smaller than
+    their grid's; there they are compared all the same. Every round works on crowded cells only.
+
     The pieces are read several times, so they are written to the shared folder first.
     """
     by = list(by)
-    shape = [*by, "x1", "y1", "x2", "y2"]
+    cell, spot = [*by, "grid", "cx", "cy"], [*by, "x", "y"]
     extent = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / 2
     grid = F.when(extent > 0, F.ceil(F.log2(extent))).otherwise(F.lit(0)).cast("int")
-    side = F.pow(F.lit(2.0), F.col("grid"))
-    shapes = regions.select(*shape).distinct().withColumn("grid", grid)
-    pieces = staged(
-        shapes.withColumn(
-            "cx", F.explode(F.sequence(_cell(F.col("x1"), side), _cell(F.col("x2"), side)))
-        )
-        .withColumn(
-            "cy", F.explode(F.sequence(_cell(F.col("y1"), side), _cell(F.col("y2"), side)))
-        )
-        .select(
-            *by, "grid", "cx", "cy",
-            F.greatest(F.col("x1"), F.col("cx") * side).alias("x1"),
-            F.greatest(F.col("y1"), F.col("cy") * side).alias("y1"),
-            F.least(F.col("x2"), (F.col("cx") + 1) * side).alias("x2"),
-            F.least(F.col("y2"), (F.col("cy") + 1) * side).alias("y2"),
-        )
-        .distinct()
-    )
-    whole = (
-        (F.col("x1") == F.col("cx") * side)
-        & (F.col("y1") == F.col("cy") * side)
-        & (F.col("x2") == (F.col("cx") + 1) * side)
-        & (F.col("y2") == (F.col("cy") + 1) * side)
+    shapes = regions.select(*by, "x1", "y1", "x2", "y2").distinct().withColumn("grid", grid)
+    spans = {c: F.sequence(_cell(F.col(f"{c}1"), _side()), _cell(F.col(f"{c}2"), _side())) for c in "xy"}
+    pieces = staged(_cut_up(shapes, by, spans), "pieces")
+    grids = pieces.agg(F.collect_set("grid")).scalar()
+    spots = _placed(points.select(*spot).distinct().withColumn("grid", F.explode(grids)), cell)
+
+    hits = None
+    for depth in range(quarterings + 1):
+        covered = pieces.where(_covers_cell()).select(*cell).distinct()
+        partial = pieces.where(~_covers_cell()).join(covered, cell, "left_anti")
+        crowded = None
+        if depth < quarterings:
+            counted = partial.groupBy(*cell).agg(F.count(F.lit(1)).alias("_pieces"))
+            crowded = staged(counted.where(F.col("_pieces") > cell_pieces).select(*cell), "crowded")
+            if crowded.isEmpty():
+                crowded = None
+        few = partial if crowded is None else partial.join(crowded, cell, "left_anti")
+        found = spots.join(covered, cell, "left_semi").select(*spot).union(_inside(spots, few, cell).select(*spot))
+        hits = found if hits is None else hits.union(found)
+        if crowded is None:
+            break
+        halves = {c: F.sequence(2 * F.col(f"c{c}"), 2 * F.col(f"c{c}") + 1) for c in "xy"}
+        finer = partial.join(crowded, cell, "left_semi").withColumn("grid", F.col("grid") - 1)
+        pieces = staged(_cut_up(finer, by, halves), "pieces")
+        inner = spots.join(crowded, cell, "left_semi").withColumn("grid", F.col("grid") - 1)
+        spots = staged(_placed(inner, cell), "crowded-spots")
+    return points.join(hits.distinct(), spot, "left_semi").withColumn("mask", F.lit(255))
+
+
+def _cut_up(shapes: DataFrame, by: list[str], spans: dict[str, Column]) -> DataFrame:
+    """The distinct pieces of shapes in the cells of their grid that ``spans`` lists."""
+    out = shapes.withColumn("_x", spans["x"]).withColumn("_y", spans["y"]).select(
+        *by, "grid", "x1", "y1", "x2", "y2", F.explode("_x").alias("cx"), "_y"
+    ).withColumn("cy", F.explode("_y"))
+    cut = out.select(
+        *by, "grid", "cx", "cy",
+        F.greatest(F.col("x1"), F.col("cx") * _side()).alias("x1"),
+        F.greatest(F.col("y1"), F.col("cy") * _side()).alias("y1"),
+        F.least(F.col("x2"), (F.col("cx") + 1) * _side()).alias("x2"),
+        F.least(F.col("y2"), (F.col("cy") + 1) * _side()).alias("y2"),
     )
-    cell = [*by, "grid", "cx", "cy"]
-    covered = pieces.where(whole).select(*cell).distinct()
-    partial = pieces.where(~whole).join(covered, cell, "left_anti")
+    return cut.where("x1 <= x2 and y1 <= y2").distinct()
 
-    grids = pieces.agg(F.collect_set("grid")).scalar()
-    spots = (
-        points.select(*by, "x", "y")
-        .distinct()
-        .withColumn("grid", F.explode(grids))
-        .withColumn("cx", _cell(F.col("x"), side))
-        .withColumn("cy", _cell(F.col("y"), side))
+
+def _covers_cell() -> Column:
+    return (
+        (F.col("x1") == F.col("cx") * _side())
+        & (F.col("y1") == F.col("cy") * _side())
+        & (F.col("x2") == (F.col("cx") + 1) * _side())
+        & (F.col("y2") == (F.col("cy") + 1) * _side())
     )
-    p, r = spots.alias("p"), partial.alias("r")
-    same_cell = [F.col(f"p.{c}") == F.col(f"r.{c}") for c in cell]
-    inside = F.col("p.x").between(F.col("r.x1"), F.col("r.x2")) & F.col("p.y").between(
+
+
+def _placed(spots: DataFrame, cell: list[str]) -> DataFrame:
+    """Spots with the cell of their grid that they are in."""
+    rest = [c for c in spots.columns if c not in ("cx", "cy")]
+    return spots.select(*rest, _cell(F.col("x"), _side()).alias("cx"), _cell(F.col("y"), _side()).alias("cy"))
+
+
+def _inside(spots: DataFrame, pieces: DataFrame, cell: list[str]) -> DataFrame:
+    """The spots inside a piece of their cell."""
+    p, r = spots.alias("p"), pieces.alias("r")
+    matched = F.col("p.x").between(F.col("r.x1"), F.col("r.x2")) & F.col("p.y").between(
         F.col("r.y1"), F.col("r.y2")
     )
-    matched = same_cell[0]
-    for condition in [*same_cell[1:], inside]:
-        matched = matched & condition
-    spot = [*by, "x", "y"]
-    hits = (
-        spots.join(covered, cell, "left_semi")
-        .select(*spot)
-        .union(p.join(r, matched, "left_semi").select(*spot))
-        .distinct()
-    )
-    return points.join(hits, spot, "left_semi").withColumn("mask", F.lit(255))
+    for c in cell:
+        matched = (F.col(f"p.{c}") == F.col(f"r.{c}")) & matched
+    return p.join(r, matched, "left_semi")

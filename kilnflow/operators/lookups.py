@@ -85,11 +85,22 @@ def apply_overrides(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
 
 
 def random_pick(prompts: DataFrame, seed: int = 42, key: str = "mode") -> DataFrame:
-    """One prompt per mode, uniform and repeatable: the smallest seeded digest wins."""
+    """One prompt per mode, uniform and repeatable: the smallest seeded digest wins.
+
+    ``prompt_id`` is a whole number. The first 60 bits of the digest and the id make one number,
+    whose minimum a hash aggregate keeps; only the texts of the ids it gives are fetched.
+    Of several texts of such an id the least is taken.
+    """
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("prompt_id").cast("string")))
-    return prompts.groupBy(key).agg(
-        F.min_by(F.struct("prompt_id", "text"), F.struct(draw, "prompt_id")).alias("pick")
-    ).select(key, "pick.*")
+    high = F.conv(F.substring(draw, 1, 15), 16, 10).cast("decimal(19,0)")
+    shift, turn = (F.lit(str(1 << n)).cast("decimal(20,0)") for n in (63, 64))
+    lot = (high * turn + (F.col("prompt_id").cast("decimal(20,0)") + shift)).cast("decimal(38,0)")
+    least = prompts.groupBy(key).agg(F.min(lot).alias("_lot"))
+    won = least.select(
+        F.col(key).alias("_key"), ((F.col("_lot") % turn) - shift).cast("long").alias("_id")
+    )
+    held = prompts.join(won, F.col(key).eqNullSafe(F.col("_key")) & (F.col("prompt_id") == F.col("_id")))
+    return held.groupBy(key, "prompt_id").agg(F.min("text").alias("text"))
 
 
 def pick_for_modes(requests: DataFrame, picks: DataFrame, default: str = "text2img") -> DataFrame:

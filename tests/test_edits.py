@@ -87,3 +87,24 @@ def test_mask_plan_has_no_nested_loop(spark):
     )
     plan = region_mask(points, regions)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("cell_pieces,quarterings", [(1, 3), (4, 40), (64, 40)])
+def test_crowded_regions(spark, cell_pieces, quarterings):
+    """Many regions on a small area, slivers and points among them, nested and repeated ones too."""
+    rng = random.Random(8)
+    regions = [(4.0 - i / 50, 4.0 - i / 60, 4.0 + i / 50, 4.0 + i / 60) for i in range(60)]
+    for _ in range(400):
+        x, y = round(rng.uniform(0, 8), 2), round(rng.uniform(0, 8), 2)
+        w, h = rng.choice([(0, 0), (0, 3), (2.5, 0), (0.02, 0.02), (0.5, 0.01), (0.3, 0.3)])
+        regions.append((x, y, x + w, y + h))
+    regions += regions[:30]
+    points = [(i, round(rng.uniform(-1, 9), 2), round(rng.uniform(-1, 9), 2)) for i in range(1500)]
+    points += [(2000 + i, r[2], r[1]) for i, r in enumerate(regions)]
+    inside = sorted(i for i, x, y in points if any(a <= x <= c and b <= y <= d for a, b, c, d in regions))
+    out = region_mask(
+        spark.createDataFrame(points, "id int, x double, y double"),
+        spark.createDataFrame(regions, "x1 double, y1 double, x2 double, y2 double"),
+        cell_pieces=cell_pieces, quarterings=quarterings,
+    )
+    assert sorted(r["id"] for r in out.collect()) == inside
