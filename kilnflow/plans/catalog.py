@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kilnflow.constants import COMPONENT_MODES, MODELS
 from kilnflow.functions import payload, rates, text, vectors
@@ -182,6 +183,21 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+@query("S8_batch_results")
+def s8_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The outcomes of batches of ten requests; the files of every seventh were there before."""
+    checked = requests.validate_requests(feeds.requests(spark, sf))
+    outcomes = checked.select(
+        F.floor(F.col("request_id") / 10).alias("batch_id"), F.col("request_id").alias("position"),
+        F.concat(text.slugify("prompt"), F.lit(".png")).alias("image_path"),
+        F.when(F.col("request_id") % 3 == 0, F.get("reasons", F.lit(0))).alias("error"),
+    )
+    existing = outcomes.where(F.col("position") % 7 == 0).select(F.col("image_path").alias("path"))
+    return files.batch_result_rows(outcomes, existing).select(
+        "batch_id", "success", "message", F.array_join("image_paths", "|").alias("image_paths"), "count"
+    )
+
+
 # --- projections, filters, validation ---------------------------------------------------
 
 
@@ -897,6 +913,20 @@ def u1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def make_bytes() -> infer.Predictor:
+    return lambda batch: [np.floor(v.astype("float64") * 100).astype("int8").tobytes() for v in batch]
+
+
+@query("U1_batch_infer_bytes")
+def u1_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that gives bytes, as images are: one signed byte per component."""
+    vectors_in = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = infer.batch_infer(
+        vectors_in, make_bytes, ["embedding"], [[64]], return_type=T.BinaryType()
+    )
+    return out.select("vec_id", F.lower(F.hex("value")).alias("image"), F.octet_length("value").alias("size"), "error")
+
+
 @query("U2_with_step_hook")
 def u2(spark: SparkSession, sf: str) -> DataFrame:
     def hook(batches):

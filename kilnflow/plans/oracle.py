@@ -310,6 +310,27 @@ SQL["S8_write_results"] = _with("requests") + f"""
            case when error is null then seed end as seed
     from checked"""
 
+SQL["S8_batch_results"] = _with("requests") + f"""
+    , outcomes as (
+        select cast(floor(request_id / 10) as bigint) as batch_id, request_id as position,
+               concat({_slug('prompt', 50)}, '.png') as image_path,
+               case when request_id % 3 <> 0 then null
+                    when model <> 'flux' then concat('Model not available: ', model)
+                    when trim(prompt) = '' then 'Prompt cannot be empty' end as error
+        from requests)
+    , there as (select distinct image_path from outcomes where position % 7 = 0)
+    , fresh as (select batch_id, image_path, min(position) as position from outcomes
+                where image_path not in (select image_path from there) group by all)
+    , paths as (select batch_id, string_agg(image_path, '|' order by position) as paths
+                from fresh group by batch_id)
+    , batches as (select batch_id, arg_min(error, position) filter (error is not null) as error,
+                         count(*) as made from outcomes group by batch_id)
+    select b.batch_id, error is null as success,
+           coalesce(error, concat('Generated ', cast(made as varchar), ' images successfully')) as message,
+           case when error is null then coalesce(paths, '') else '' end as image_paths,
+           case when error is null then made else 0 end as count
+    from batches b left join paths p on b.batch_id = p.batch_id"""
+
 SQL["P1_resolve_defaults"] = RESOLVED + """
     select request_id, height, width, num_inference_steps, seed, seed is not null as seeded
     from resolved"""
@@ -890,6 +911,12 @@ SQL["U1_batch_infer"] = """
            cast(null as varchar) as error
     from embeddings"""
 
+SQL["U1_batch_infer_bytes"] = """
+    select vec_id, array_to_string(list_transform(embedding, lambda x:
+               printf('%02x', cast(floor(cast(x as double) * 100) as integer) & 255)), '') as image,
+           cast(len(embedding) as integer) as size, cast(null as varchar) as error
+    from embeddings"""
+
 SQL["U2_with_step_hook"] = """
     select user_id, event_id, step_index, round(step_index * value, 6) as captured from (
         select user_id, event_id, value,

@@ -188,6 +188,36 @@ def result_rows(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def batch_result_rows(outcomes: DataFrame, existing: DataFrame) -> DataFrame:
+    """One result per batch request: ``batch_id, success, message, image_paths, count``.
+
+    ``outcomes`` has ``batch_id``, ``position`` in the batch, ``image_path`` and ``error``;
+    ``existing`` the files that were there before, in ``path``. ``count`` is the number of images
+    that were made, ``image_paths`` are the new files among them in order: a file that was there
+    is not one, however often it was made again. The first error of a batch is its message,
+    and it has no files then. A batch is as long as its one request.
+    """
+    there = existing.select(F.col("path").alias("image_path")).distinct().withColumn("_there", F.lit(True))
+    marked = outcomes.join(there, "image_path", "left")
+    made = F.struct("position", "image_path")
+    problem = F.when(F.col("error").isNotNull(), F.col("error"))
+    batches = marked.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("_made"),
+        F.min_by(problem, F.when(problem.isNotNull(), F.col("position"))).alias("_error"),
+        F.sort_array(F.collect_list(F.when(F.col("_there").isNull() & F.col("image_path").isNotNull(), made))).alias("_files"),
+    )
+    good = F.col("_error").isNull()
+    return batches.select(
+        "batch_id",
+        good.alias("success"),
+        F.coalesce("_error", F.concat(F.lit("Generated "), F.col("_made").cast("string"), F.lit(" images successfully"))).alias("message"),
+        F.when(good, F.array_distinct(F.transform("_files", lambda f: f["image_path"]))).otherwise(
+            F.array().cast("array<string>")
+        ).alias("image_paths"),
+        F.when(good, F.col("_made")).otherwise(0).alias("count"),
+    )
+
+
 def write_results(outcomes: DataFrame, path: str) -> None:
     """Append result rows."""
     result_rows(outcomes).write.mode("append").parquet(path)
