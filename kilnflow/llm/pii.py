@@ -22,7 +22,7 @@ from kilnflow.llm.common import documents, let
 # --- Fixed values -------------------------------------------------------------------------
 
 #: Order of the kinds in results; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "local_phone", "spelled_email")
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "local_phone", "spelled_email", "secret")
 BASE = KINDS[:4]
 
 #: Greedy where the base rule is; possessive groups and the look-behinds change no match, and
@@ -36,11 +36,14 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9])\([0-9]{3}\)\x20?[0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
     "spelled_email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,}",
+    # Keys, tokens and passwords of machines: long runs with letters and digits.
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,512}+(?![A-Za-z0-9+/_=-])",
 }
 #: What a text must have for its pattern to match: cheaper to look for.
 NEEDS = {
     "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": "+", "ssn": r"[0-9]-[0-9]",
     "iban": r"[A-Z][A-Z][0-9][0-9]", "local_phone": r"\([0-9]", "spelled_email": r"[\[(]at[\])]",
+    "secret": r"[A-Za-z0-9+/_=-]{20}",
 }
 #: Forms that make a match sound; for cards and phones the digits decide.
 FORMS = {
@@ -50,6 +53,7 @@ FORMS = {
     "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11,38}$",
     "local_phone": r"^\([2-9]",
     "spelled_email": r"[A-Za-z]{2,}$",
+    "secret": r"[0-9].*[0-9].*[0-9].*[0-9]",
 }
 #: Endings, prefixes and codes in use.
 GAZETTEERS = {
@@ -61,6 +65,7 @@ GAZETTEERS = {
     "iban": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|IE|IT|LU|NL|NO|PL|PT|SE)",
     "local_phone": r"^\([2-9][0-8][0-9]\)",
     "spelled_email": r"(?i:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us)$",
+    "secret": r"^(?:AKIA|ASIA|AIza|ya29|gh[opsur]_|github_pat_|glpat-|hf_|npm_|pk_|rk_|sk[_-]|xox[abprs]-|eyJ)|^[0-9a-fA-F]{32,128}$",
 }
 #: Words before a span that speak for its kind.
 CUES = {
@@ -72,14 +77,18 @@ CUES = {
     "iban": r"(?i)\b(?:iban|account|konto|compte|cuenta)\W{0,3}(?:\w+\W+)?$",
     "local_phone": r"(?i)\b(?:phone|tel|call|mobile|cell|fax)\W{0,3}(?:\w+\W+)?$",
     "spelled_email": r"(?i)\b(?:e-?mail|mail|contact|write)\W{0,3}(?:\w+\W+)?$",
+    "secret": r"(?i)(?:token|secret|passwor[dt]|passwd|pwd|api.?key|(?:access|private|signing).?key|bearer|authorization|credential|jeton|clave|contraseña|kennwort)s?[\"'\x20]{0,2}(?:[:=]|=>)?\x20{0,2}[\"']?$",
 }
-#: Text right before a span that speaks against every kind: keys, versions, numbers of things.
+#: Text right before a span that speaks against its kind: keys, versions, numbers of things;
+#: for keys and the like, digests and addresses.
+NOT_SECRET = r"(?i)(?:\b(?:sha-?[0-9]*|md5|hash|digest|checksum|commit|uuid|etag|isbn|href|src)\W{0,4}|[#/\\.])$"
 AGAINST = r"(?i)(?:\b(?:version|release|isbn|token|key|hash|sha|md5|order|page|section)\W{0,4}|[=#/\\]\W?)$"
 #: Sound grouping of what has one.
 GROUPS = {
     "card": r"^(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$",
     "phone": r"^\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){1,6}$",
     "iban": r"^(?:[A-Z0-9]+|[A-Z0-9]{4}(?:\x20[A-Z0-9]{4})+(?:\x20[A-Z0-9]{1,3})?)$",
+    "secret": r"^(?:[A-Z]{4}|[a-z]+[_-])?(?:[0-9a-f]+|[0-9A-F]+|[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9_-]+)$",
 }
 LABELERS = ("form", "gazetteer", "context", "edges", "grouping")
 
@@ -190,11 +199,15 @@ def _candidates(kind: str, text: Column) -> Column:
     def judge(s: Column) -> Column:
         form = s["value"].rlike(FORMS["email"]) if kind == "email" else _sound(kind, s["value"])
         before = F.right(s["left"], F.lit(1))
+        if kind == "secret":
+            edges = _vote(before.rlike("[\"'`:=]") & s["right"].rlike("[\"'`;,]"))
+        else:
+            edges = _vote(~before.rlike("[A-Za-z0-9]") & ~s["right"].rlike("[A-Za-z0-9]"))
         votes = [
             _vote(form),
             _vote(s["value"].rlike(GAZETTEERS[kind])),
-            _vote(s["left"].rlike(CUES[kind]), s["left"].rlike(AGAINST)),
-            _vote(~before.rlike("[A-Za-z0-9]") & ~s["right"].rlike("[A-Za-z0-9]")),
+            _vote(s["left"].rlike(CUES[kind]), s["left"].rlike(NOT_SECRET if kind == "secret" else AGAINST)),
+            edges,
             _vote(s["value"].rlike(GROUPS[kind])) if kind in GROUPS else F.lit(0),
         ]
         return F.struct(
@@ -298,7 +311,7 @@ def train(patterns: Patterns) -> SpanClassifier:
 
 
 def vote_patterns(found: DataFrame) -> Patterns:
-    """How often each kind got each combination of votes: at most 8 x 3^5 rows."""
+    """How often each kind got each combination of votes: at most 9 x 3^5 rows."""
     base = 3 ** len(LABELERS)
 
     def code(s: Column) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from kilnflow.llm import bpe, language, licenses, neardup, pii, shards, topk
+from kilnflow.llm import bpe, common, language, licenses, neardup, pii, shards, topk
 from kilnflow.llm.catalog import QUERIES, SQL
 from kilnflow.llm.common import staged
 
@@ -370,3 +370,55 @@ def test_near_copies_without_ids(spark):
     assert out == {(None, 5): 3, (5, 5): 1, (4, 4): 2, (None, None): 90}
     stay = neardup.one_of_each(docs)
     assert sorted((r.doc_id or 0, r.text) for r in stay.collect()) == [(0, "twin text"), (4, "alone here"), (5, one + " more")]
+
+
+def test_secrets_are_told_from_digests(spark):
+    """Precision and recall of the added spans, on keys of several forms among look-alikes."""
+    rng = np.random.default_rng(3)
+
+    def drawn(letters, n):
+        return "".join(rng.choice(list(letters), n))
+
+    hexed, mixed = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789"
+    true = [
+        lambda: ('token = "', drawn(hexed, 36), '"'), lambda: ("api_key: '", drawn(mixed, 40) + "7x1y9", "',"),
+        lambda: ('secret="', "sk_live_" + drawn(mixed, 24) + "a1b2c3", '"'), lambda: ('password = "', drawn(hexed, 32), '";'),
+    ]
+    false = [
+        lambda: ("commit ", drawn(hexed, 40), " was"), lambda: ("sha256: ", drawn(hexed, 64), " of"),
+        lambda: ("see https://example.org/", drawn(mixed, 24) + "x1y2z3", "/index"), lambda: ("of ", "Donau" + drawn("abcdeilnrst", 30) + "1", " and"),
+    ]
+    rows, want = [], set()
+    for i in range(400):
+        left, value, right = (true if i % 2 else false)[int(rng.integers(0, 4))]()
+        lead = "words before it " * int(rng.integers(0, 4))
+        rows.append((i, f"{lead}{left}{value}{right} and words after"))
+        if i % 2:
+            want.add((i, f"secret:{len(lead + left)}:{len(lead + left + value)}"))
+    out = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, s) for r in out for s in r.spans.split(",") if s.startswith("secret")}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_many_equal_rows_without_id(spark):
+    """A third of the rows has no id, most of those the same text: slots stay gapless."""
+    rows = spark.range(3000).selectExpr(
+        "case when id % 3 = 0 then null else id end as doc_id",
+        "case when id % 3 = 0 and id % 2 = 0 then 'same' else concat('t', id) end as text",
+    )
+    spark.conf.set("spark.kilnflow.rowsPerChunk", 50)
+    try:
+        out = shards.assign(rows, shards.planned(40), shards.planned(41)).collect()
+    finally:
+        spark.conf.unset("spark.kilnflow.rowsPerChunk")
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 3000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_copies_are_made_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 4)
+    rows = spark.createDataFrame([("a", 11), ("b", 0), ("c", 4), ("d", 1)], "_piece string, n long")
+    out = Counter((r._piece, r.copy) for r in common.repeated(rows, "n", "copy").collect())
+    assert out == {(k, i): 1 for k, n in (("a", 11), ("c", 4), ("d", 1)) for i in range(1, n + 1)}
