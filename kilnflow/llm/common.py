@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kilnflow.session import scratch_path, staged, table
 
 __all__ = [
-    "WHITE", "documents", "hash48", "label_of", "let", "restored", "scratch_path", "shuffle_width",
+    "WHITE", "documents", "hash48", "label_of", "let", "repeated", "restored", "scratch_path", "shuffle_width",
     "source_key", "staged", "table", "unused", "word_count",
 ]
 
@@ -66,6 +66,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Copies of a row that are made from one array.
+COPIES = 1 << 16
+
+
+def repeated(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Every row as often as its column ``times`` says, numbered from 1 in ``number``.
+
+    Made in pieces of bounded size, so that the count may be any long.
+    """
+    (piece,) = unused([*rows.columns, number], "_piece")
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES))
+    pieces = rows.filter(F.col(times) > 0).withColumn(piece, F.explode(blocks))
+    left = F.least(F.col(times) - F.col(piece) * COPIES, F.lit(COPIES))
+    within = F.explode(F.sequence(F.lit(1).cast("long"), left.cast("long")))
+    return pieces.withColumn(number, within).withColumn(number, F.col(number) + F.col(piece) * COPIES).drop(piece)
+
+
 def restored(docs: DataFrame, plan: DataFrame, keys: dict[str, Column], times: str) -> DataFrame:
     """Rows of ``docs`` that ``plan`` names, each ``times`` times, with their own columns only.
 
@@ -80,8 +97,5 @@ def restored(docs: DataFrame, plan: DataFrame, keys: dict[str, Column], times: s
     left = docs.withColumns(dict(zip(mine, keys.values())))
     condition = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(mine, names)]
     joined = left.join(renamed, condition, "inner")
-    repeated = joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.explode(F.sequence(F.lit(1), F.col(names[-1]).cast("int"))).alias(mine[0]),
-    )
-    return repeated.drop(mine[0])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return repeated(joined.select(*columns, names[-1]), names[-1], mine[0]).select(*columns)

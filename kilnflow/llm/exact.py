@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnflow.llm.common import WHITE, documents, restored, scratch_path, shuffle_width, staged
+from kilnflow.llm.common import WHITE, documents, repeated, restored, scratch_path, shuffle_width, staged
 
 
 def digest(text: Column) -> Column:
@@ -40,6 +40,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        """Take the table's name out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, rows: DataFrame) -> None:
         rows.select("digest", "keep_id", "n_points").write.insertInto(self.name)
 
@@ -112,15 +116,24 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
+def _decided(docs: DataFrame, index: DigestIndex | None) -> DataFrame:
+    """:func:`ingest` with the given index, or with one that is for this batch alone."""
+    if index is not None:
+        return ingest(docs, index)
+    own = open_index(docs.sparkSession)
+    try:
+        return ingest(docs, own)
+    finally:
+        own.close()
+
+
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row per row of ``docs``: which row of its text stays.
 
     ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``. Of identical rows one
     is kept. Null and empty texts are one text; other columns are not looked at.
     """
-    decided = ingest(docs, index or open_index(docs.sparkSession))
-    each = decided.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select(
+    return repeated(_decided(docs, index), "copies", "copy").select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -134,7 +147,7 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
     Texts are shuffled once, by digest and id together, which no group makes uneven.
     """
-    decided = ingest(docs, index or open_index(docs.sparkSession))
+    decided = _decided(docs, index)
     keepers = staged(
         decided.filter("kept").select("digest", "doc_id", "n_points", "copies"), "digest-keepers"
     )
@@ -144,15 +157,16 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         "n_points": points(F.col("text")),
     }
     once = F.lit(1).alias("times")
-    repeated = keepers.filter("copies > 1")
-    if repeated.isEmpty():
+    equal = keepers.filter("copies > 1")
+    if equal.isEmpty():
         return restored(docs, keepers.select(*keys, once), keys, "times")
     single = restored(docs, keepers.filter("copies = 1").select(*keys, once), keys, "times")
     # Identical rows: any one of them, chosen by value.
-    several = restored(docs, repeated.select(*keys, once), keys, "times")
+    several = restored(docs, equal.select(*keys, once), keys, "times")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     first = several.groupBy(
         digest(F.col("text")).alias("d"), F.col("doc_id").alias("i"), points(F.col("text")).alias("p")
-    ).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    ).agg(F.min_by(row, F.struct("text", F.md5(F.to_json(row)))).alias("row"))
     return single.unionByName(first.select("row.*"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kilnflow.llm.common import documents, hash48, restored, source_key, staged, word_count
+from kilnflow.llm.common import documents, hash48, repeated, restored, source_key, staged, word_count
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -166,14 +166,13 @@ def mixture(docs: DataFrame) -> DataFrame:
     Identical rows are taken together. The order depends on ``doc_id`` alone, so reruns agree.
     """
     plan = plan_mix(docs, word_count(F.col("text")))
-    return plan.select(
+    return repeated(plan, "rows", "row").select(
         "doc_id",
         F.col("words").alias("size"),
         "source_size",
         "target",
         (F.col("words") * F.col("times")).cast("long").alias("taken"),
-        F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row"),
-    ).drop("row")
+    )
 
 
 def mixed(docs: DataFrame) -> DataFrame:

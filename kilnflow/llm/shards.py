@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kilnflow.llm.common import documents, hash48, staged
+from kilnflow.llm.common import documents, hash48, repeated, staged
+from kilnflow.operators.ordered import Running, running
 
 SHARDS = 40
 SHARDS_PER_RACK = 5
@@ -105,7 +106,9 @@ def assign(docs: DataFrame, leaves: Sequence[Leaf], grown: Sequence[Leaf]) -> Da
     ``doc_id`` is a key of its own; identical rows get one shard and a slot each.
 
     Slots follow a hash of the id: a shard is numbered in ``SLOT_PARTS`` parts, and only the
-    sums per part (at most shards x parts rows) are broadcast.
+    sums per part (at most shards x parts rows) are broadcast. Rows of one id, or of none, are
+    in one part; equal rows are counted first, and a part with very many others is numbered
+    in chunks.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     doc_id = F.col("doc_id")
@@ -121,24 +124,23 @@ def assign(docs: DataFrame, leaves: Sequence[Leaf], grown: Sequence[Leaf]) -> Da
         ),
         "placed",
     )
-    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = ["shard", "part"]
+    equal = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("copies"))
+    counts = placed.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")
-    )
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    return (
-        placed.withColumn("at", F.row_number().over(within))
-        .join(F.broadcast(starts), ["shard", "part"])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            "law",
-            "shard",
-            (F.col("start") + F.col("at") - 1).cast("long").alias("slot"),
-            "grown_shard",
-        )
+    starts = counts.select(*parts, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    order = ["doc_id", "text_crc32", "size"]
+    upto = running(staged(equal, "equal-rows"), parts, order, {"upto": Running("sum", F.col("copies"))})
+    first = F.col("start") + F.col("upto") - F.col("copies")
+    each = repeated(upto.join(F.broadcast(starts), parts).withColumn("first", first), "copies", "copy")
+    return each.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "law",
+        "shard",
+        (F.col("first") + F.col("copy") - 1).cast("long").alias("slot"),
+        "grown_shard",
     )
 
 
