@@ -103,3 +103,23 @@ SPACE_RANGES = (
 # The same as a set of characters, and as the body of a character class (Java and RE2).
 SPACE_CHARS = "".join(chr(c) for first, last in SPACE_RANGES for c in range(first, last + 1))
 SPACE = "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in SPACE_RANGES)
+
+# What a rejected or odd request is told.
+MODEL_REJECTED = "Model not available: "
+PROMPT_REJECTED = "Prompt cannot be empty"
+SIZE_WARNING = "Height and width should be multiples of 8"
+
+# Descriptions of the modes; a strength goes between the two parts of the second.
+TEXT_DESCRIPTION = "Text-to-Image (generate from scratch)"
+IMAGE_DESCRIPTION = ("Image-to-Image (transform existing image, strength=", ")")
+CONTROL_DESCRIPTION = "ControlNet (structure-guided generation)"
+
+# The two functions that may be called, and what other calls are told.
+IMAGE_FUNCTION = "generate_image"
+BATCH_FUNCTION = "generate_images_batch"
+FUNCTION_UNKNOWN = "Unknown function: "
+ARGUMENT_MISSING = "Missing required argument: "
+
+# What a result says.
+IMAGE_MADE = "Image generated successfully"
+BATCH_MADE = ("Generated ", " images successfully")

@@ -10,14 +10,24 @@ from pyspark.sql import types as T
 
 from kilnflow.constants import (
     ACCEPTED_MODELS,
+    ARGUMENT_MISSING,
+    BATCH_FUNCTION,
     COMPONENT_ORDER,
+    CONTROL_DESCRIPTION,
     DEFAULT_GUIDANCE,
     DEFAULT_MODE,
+    FUNCTION_UNKNOWN,
+    IMAGE_DESCRIPTION,
+    IMAGE_FUNCTION,
     IMAGE_MODES,
     IMAGE_NOTE,
+    MODEL_REJECTED,
     MODELS,
     NO_IMAGE_NOTE,
     PROGRESSIVE_STEPS,
+    PROMPT_REJECTED,
+    SIZE_WARNING,
+    TEXT_DESCRIPTION,
 )
 from kilnflow.functions.rates import duration_text, percent_done, remaining_s
 from kilnflow.functions.text import strip
@@ -119,12 +129,12 @@ def validate_requests(
     odd = (F.col("height") % 8 != 0) | (F.col("width") % 8 != 0)
     reasons = F.array_compact(
         F.array(
-            F.when(other, F.concat(F.lit("Model not available: "), F.col("model"))),
-            F.when(blank, F.lit("Prompt cannot be empty")),
+            F.when(other, F.concat(F.lit(MODEL_REJECTED), F.col("model"))),
+            F.when(blank, F.lit(PROMPT_REJECTED)),
         )
     )
     warnings = F.array_compact(
-        F.array(F.when(odd, F.lit("Height and width should be multiples of 8")))
+        F.array(F.when(odd, F.lit(SIZE_WARNING)))
     )
     return requests.withColumns(
         {"reasons": reasons, "warnings": warnings, "accepted": F.size(reasons) == 0}
@@ -142,16 +152,16 @@ def route_mode(requests: DataFrame) -> DataFrame:
     wants_image = asked.isin(list(IMAGE_MODES))
     has_image = F.col("init_image").isNotNull()
     description = (
-        F.when(asked == "text2img", F.lit("Text-to-Image (generate from scratch)"))
+        F.when(asked == "text2img", F.lit(TEXT_DESCRIPTION))
         .when(
             asked == "img2img",
             F.concat(
-                F.lit("Image-to-Image (transform existing image, strength="),
+                F.lit(IMAGE_DESCRIPTION[0]),
                 F.col("strength").cast("string"),
-                F.lit(")"),
+                F.lit(IMAGE_DESCRIPTION[1]),
             ),
         )
-        .when(asked == "controlnet", F.lit("ControlNet (structure-guided generation)"))
+        .when(asked == "controlnet", F.lit(CONTROL_DESCRIPTION))
         .otherwise(F.lit("text2img"))
     )
     note = F.when(wants_image, F.when(has_image, IMAGE_NOTE).otherwise(NO_IMAGE_NOTE))
@@ -262,7 +272,7 @@ def dispatch_calls(calls: DataFrame) -> DataFrame:
     """
     one = F.from_json("arguments", IMAGE_CALL)
     many = F.from_json("arguments", BATCH_CALL)
-    is_one, is_many = F.col("name") == "generate_image", F.col("name") == "generate_images_batch"
+    is_one, is_many = F.col("name") == IMAGE_FUNCTION, F.col("name") == BATCH_FUNCTION
     prompts = F.when(is_one & F.col("_one.prompt").isNotNull(), F.array("_one.prompt")).when(
         is_many, F.col("_many.prompts")
     )
@@ -271,8 +281,8 @@ def dispatch_calls(calls: DataFrame) -> DataFrame:
     )
     known = F.coalesce(is_one | is_many, F.lit(False))
     required = F.when(is_one, "prompt").otherwise("prompts")
-    error = F.when(~known, F.concat(F.lit("Unknown function: "), F.col("name"))).when(
-        F.col("prompts").isNull(), F.concat(F.lit("Missing required argument: "), required)
+    error = F.when(~known, F.concat(F.lit(FUNCTION_UNKNOWN), F.col("name"))).when(
+        F.col("prompts").isNull(), F.concat(F.lit(ARGUMENT_MISSING), required)
     )
     return (
         calls.withColumn("_one", F.when(is_one, one))

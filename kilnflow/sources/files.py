@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kilnflow.constants import BATCH_MADE, IMAGE_MADE
 from kilnflow.functions.text import strip
 
 REQUEST = T.StructType(
@@ -183,7 +184,7 @@ def result_rows(outcomes: DataFrame) -> DataFrame:
     return outcomes.select(
         "request_id",
         (~failed).alias("success"),
-        F.coalesce("error", F.lit("Image generated successfully")).alias("message"),
+        F.coalesce("error", F.lit(IMAGE_MADE)).alias("message"),
         *[F.when(~failed, F.col(c)).alias(c) for c in ("image_path", "width", "height", "seed")],
     )
 
@@ -210,7 +211,7 @@ def batch_result_rows(outcomes: DataFrame, existing: DataFrame) -> DataFrame:
     return batches.select(
         "batch_id",
         good.alias("success"),
-        F.coalesce("_error", F.concat(F.lit("Generated "), F.col("_made").cast("string"), F.lit(" images successfully"))).alias("message"),
+        F.coalesce("_error", F.concat(F.lit(BATCH_MADE[0]), F.col("_made").cast("string"), F.lit(BATCH_MADE[1]))).alias("message"),
         F.when(good, F.array_distinct(F.transform("_files", lambda f: f["image_path"]))).otherwise(
             F.array().cast("array<string>")
         ).alias("image_paths"),

@@ -183,3 +183,12 @@ def test_rates_and_labels(spark):
     assert row["full"] == 100.0
     assert (row["even"], row["unknown"]) == ("Performance: 12%", "Establishing baseline...")
     assert row["normal"] == "NORMAL"
+
+
+def test_rows_of_cut_keys_move_once(spark):
+    """The final plan reads what the one window has written: only edges and sums are shuffled."""
+    log = log_of(spark, {"hot": [1 + i % 7 for i in range(300)], "small": [2, 3, 4]})
+    for made in (timing.break_schedule(log, rows=20), timing.rolling_state(log, rows=20)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        rows = [line for line in plan.splitlines() if "FileScan" in line]
+        assert len(rows) == 2 and plan.count("Exchange hashpartitioning") == 2
