@@ -61,7 +61,8 @@ class Bucket:
         if not len(self.orders):
             self.orders = self.scaled.argsort(axis=0, kind="stable").astype(np.uint16)
         self.lists = np.take_along_axis(self.scaled, self.orders.astype(np.int64), 0)
-        self.one_label = self.labels[0] if len(self.labels) and (self.labels == self.labels[0]).all() else None
+        self.known_labels = np.unique(self.labels)
+        self.one_label = self.known_labels[0] if len(self.known_labels) == 1 else None
 
     def candidates(self, queries: np.ndarray, lengths: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of some queries and some rows, outside of which no row scores what its query needs."""
@@ -140,9 +141,7 @@ def _narrowed(queries: np.ndarray, width: int) -> np.ndarray:
 
 def search_positives(best: Best, tile: dict, bucket: Bucket) -> None:
     """Rows of the anchor's label, but its own id."""
-    mine = np.arange(len(tile["ids"]))
-    if bucket.one_label is not None:
-        mine = mine[tile["labels"] == bucket.one_label]
+    mine = np.flatnonzero(np.isin(tile["labels"], bucket.known_labels))
     if not len(mine):
         return
     queries = _narrowed(tile["vectors"], bucket.vectors.shape[1])

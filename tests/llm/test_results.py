@@ -1,6 +1,7 @@
 """Results of the queries: against SQL, brute force, round trips, and held-out rows."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -140,6 +141,19 @@ def test_quality(spark, data, con):
     assert len(held) >= 8 and sum(good) >= 0.9 * len(good)
 
 
+def test_quality_tells_both_labels(spark, data):
+    """On more rows than the smallest table has: a constant score would not do."""
+    larger = f"{data.rstrip('/').rsplit('/', 1)[0]}/sf0.01"
+    if not os.path.exists(larger):
+        pytest.skip("no larger table here")
+    labels = dict(compare.duck(larger).execute("select doc_id, quality from labels").fetchall())
+    held = [r for r in QUERIES["op5_quality"](spark, larger).collect() if r.held_out and r.doc_id in labels]
+    score = {q: [r.score for r in held if labels[r.doc_id] == q] for q in (0, 1)}
+    above = np.mean([a > b for a in score[1] for b in score[0]])
+    right = {q: np.mean([r.predicted == q for r in held if labels[r.doc_id] == q]) for q in (0, 1)}
+    assert above >= 0.95 and right[1] >= 0.9 and right[0] >= 0.6
+
+
 def test_language(spark, data, con):
     langs = dict(con.execute("select doc_id, lang from documents").fetchall())
     held = [r for r in QUERIES["op6_language"](spark, data).collect() if r.held_out]
@@ -311,6 +325,68 @@ def test_each_stage_keeps_what_it_should(spark, data, con):
     assert 0.9 * kept[2].count() <= kept[3].count() <= kept[2].count()
 
 
+def targets_of(sizes):
+    """Each source's target, by weights 5, 2, 1, ...; what is above twice a source's size is shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, full, out = 1.5 * sum(sizes.values()), set(), {}
+    while True:
+        share = left / max(1, sum(weight[s] for s in order if s not in full))
+        over = [s for s in order if s not in full and share * weight[s] > 2 * sizes[s]]
+        if not over:
+            return out | {s: share * weight[s] for s in order if s not in full}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+            full.add(s)
+
+
+def test_mix_and_tokens_of_the_pipeline(spark, data):
+    """The last two stages against their rules, one document at a time."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from kilnflow.llm.common import documents
+
+    docs = documents(spark, data)
+    stages = dict(corpus_pipeline.STAGES)
+    made = staged(stages["mix"](spark, docs, data), "mix")
+    before, after = (d.select("doc_id", "source", "text").collect() for d in (docs, made))
+    words = {r.doc_id: len(re.findall(r"[^ \t-\r]+", r.text or "")) for r in before}
+    sizes, taken = Counter(), Counter()
+    for r in before:
+        sizes[r.source] += words[r.doc_id]
+    for r in after:
+        taken[r.source] += words[r.doc_id]
+    assert max(Counter(r.doc_id for r in after).values()) <= 2
+    for source, target in targets_of(sizes).items():
+        assert abs(taken[source] - target) <= 2 * max(words[r.doc_id] for r in before if r.source == source)
+    ranks = {t: i for i, t in enumerate(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens = stages["tokens"](spark, made, data).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in tokens) == Counter(
+        (r.doc_id, len(own.encode_ordinary(r.text or ""))) for r in after
+    )
+
+
+def test_profiles_by_plain_distance():
+    """The out-of-place distance, place by place, and ties to the first name."""
+    rng = np.random.default_rng(2)
+    letter = language.letters()
+    texts = ["".join(rng.choice(list("abcdefgh "), 400)) for _ in range(6)]
+    profiles = {f"l{i}": language.ranked(language.grams(t, letter)) for i, t in enumerate(texts[:4])}
+    profiles["z"] = profiles["l1"]
+    detector = language.Detector(profiles)
+    for text in [*texts, texts[0] + texts[5], "a", "q"]:
+        mine = language.ranked(language.grams(text, letter)).tolist()
+        away = {
+            name: sum(abs(p.tolist().index(g) - i) if g in p else language.PROFILE for i, g in enumerate(mine))
+            for name, p in profiles.items()
+        }
+        best = min(away, key=lambda n: (away[n], n))
+        assert detector.predict(text) == (best, pytest.approx(1 - away[best] / (language.PROFILE * len(mine))))
+
+
 def test_pairs_inside_a_family_that_shares_three_quarters(spark):
     rng = np.random.default_rng(11)
     vocabulary = [f"w{i}" for i in range(200_000)]
