@@ -32,8 +32,9 @@ FORGET = "30 days"
 KEPT_VERSIONS = 2
 
 Stage = Callable[[DataFrame, str], DataFrame]
-#: From a batch (with what was carried, or nothing) to the rows to send and those to carry.
-Step = Callable[[DataFrame, DataFrame | None, Stage], tuple[DataFrame, DataFrame]]
+#: From a batch, what was carried (or nothing) and the batch's number to the rows to send and
+#: those to carry.
+Step = Callable[[DataFrame, DataFrame | None, Stage, int], tuple[DataFrame, DataFrame]]
 
 
 class Versions:
@@ -73,7 +74,7 @@ def carrying(spark: SparkSession, path: str, step: Step, sink: Sink) -> Sink:
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         with workspace(spark) as stage:
-            out, kept = step(stage(batch, "batch"), versions.before(batch_id), stage)
+            out, kept = step(stage(batch, "batch"), versions.before(batch_id), stage, batch_id)
             sink(out, batch_id)
             versions.write(kept, batch_id)
 
@@ -91,7 +92,12 @@ def _with_carried(new: DataFrame, carried: DataFrame | None, schema: str) -> Dat
 
 
 def _in_order(
-    new: DataFrame, carried: DataFrame | None, key: str, order: Sequence[str], late: Sink | None
+    new: DataFrame,
+    carried: DataFrame | None,
+    key: str,
+    order: Sequence[str],
+    late: Sink | None,
+    batch_id: int,
 ) -> DataFrame:
     """The rows after the newest carried one of their key."""
     if carried is None:
@@ -101,7 +107,7 @@ def _in_order(
         "_late", F.coalesce(F.struct(*order) <= F.col("_newest"), F.lit(False))
     )
     if late is not None:
-        late(marked.where("_late").select(*new.columns), -1)
+        late(marked.where("_late").select(*new.columns), batch_id)
     return marked.where("not _late").select(*new.columns)
 
 
@@ -128,9 +134,12 @@ def component_times_step(forget: str = FORGET, late: Sink | None = None) -> Step
     """
     order = ["ts", "seq"]
 
-    def step(batch: DataFrame, carried: DataFrame | None, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    def step(
+        batch: DataFrame, carried: DataFrame | None, stage: Stage, batch_id: int
+    ) -> tuple[DataFrame, DataFrame]:
         slim = batch.select("run_id", "component", "kind", F.col("ts").cast("timestamp").alias("ts"), "seq")
-        events = stage(_with_carried(_in_order(slim, carried, "run_id", order, late), carried, _RESETS), "events")
+        fresh = _in_order(slim, carried, "run_id", order, late, batch_id)
+        events = stage(_with_carried(fresh, carried, _RESETS), "events")
         ends = stage(timing.component_times(events, resets="_resets"), "ends")
         return ends.where("not _old").select(
             "run_id", "segment", "component", "seq", "elapsed_s", "matched", "percent"
@@ -195,9 +204,11 @@ def thermal_step(
     """
     order = ["ts", "event_id"]
 
-    def step(batch: DataFrame, carried: DataFrame | None, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    def step(
+        batch: DataFrame, carried: DataFrame | None, stage: Stage, batch_id: int
+    ) -> tuple[DataFrame, DataFrame]:
         slim = batch.select("session_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "elapsed_s")
-        fresh = _in_order(slim, carried, "session_id", order, late)
+        fresh = _in_order(slim, carried, "session_id", order, late, batch_id)
         log = stage(_with_carried(fresh, carried, _HANDLED), "log")
         state = timing.item_state(log, window, threshold, baseline, ["session_id"], order, "elapsed_s", rows)
         done = stage(timing.scheduled(state, batch_size, batch_cooling_s, cooling_s), "state")
@@ -240,7 +251,9 @@ def newest_step(
     Both aggregate by key. A key whose ``at`` is older than the newest by more than ``forget`` is
     left out. What is sent is what is carried.
     """
-    def step(batch: DataFrame, carried: DataFrame | None, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    def step(
+        batch: DataFrame, carried: DataFrame | None, stage: Stage, batch_id: int
+    ) -> tuple[DataFrame, DataFrame]:
         rows = partial(batch)
         merged = stage(merge(rows if carried is None else carried.unionByName(rows)), "merged")
         newest = merged.agg(F.max(at)).scalar()

@@ -151,7 +151,7 @@ def test_late_events_and_finished_runs(spark):
         [(2, "a", "end", at(5001), 8), (3, "b", "end", at(5002), 9)],
     ]
     out, late = scratch_path(spark, "sent"), []
-    step = carried.component_times_step("1 hour", lambda rows, _: late.extend(rows.collect()))
+    step = carried.component_times_step("1 hour", lambda rows, i: late.extend((i, r) for r in rows.collect()))
     deliver = carried.carrying(spark, scratch_path(spark, "state"), step, progress.parquet_sink(out))
     for i, rows in enumerate(batches):
         frame = spark.createDataFrame(rows, EVENTS)
@@ -164,7 +164,7 @@ def test_late_events_and_finished_runs(spark):
         # Run 2 was last seen more than an hour before 5000: its reset and start are forgotten.
         8: (0, 0.0, False, None), 9: (0, 4962.0, True, 100.0),
     }
-    assert {r["seq"] for r in late} == {2, 90}
+    assert {(i, r["seq"]) for i, r in late} == {(1, 2), (1, 90)}
 
 
 def test_newest_rows_are_one_small_table(spark, batches):
