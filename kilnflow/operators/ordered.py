@@ -97,8 +97,11 @@ def _key_of(keys: list[str]) -> Column:
     return (F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))).alias("key")
 
 
-def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) -> Column | None:
-    """All cut points in order, each with its number within its key, as a literal."""
+def _cut_points(
+    df: DataFrame, keys: list[str], order: list[str], rows: int
+) -> tuple[Column, list[int]] | None:
+    """All cut points in order, each with its number within its key, as a literal; and the
+    hashes of their keys."""
     opens = F.pmod(F.xxhash64(*keys, *order), F.lit(rows)) == 0
     # Another hash ranks the cut points: rank 1 and up half of them, 2 and up a quarter, ...
     lots = F.xxhash64(F.lit("rank"), *keys, *order).bitwiseAND(F.lit(2**63 - 1))
@@ -117,10 +120,11 @@ def _cut_points(df: DataFrame, keys: list[str], order: list[str], rows: int) ->
     )
     points = kept.agg(F.sort_array(F.collect_list(F.struct("at", "number"))).alias("points"))
     exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    found = points.select(F.size("points").alias("n"), F.to_json("points", exact).alias("text")).first()
-    if not found["n"]:
+    hashes = F.array_distinct(F.transform("points", lambda p: F.xxhash64(p["at"]["key"])))
+    found = points.select(hashes.alias("hashes"), F.to_json("points", exact).alias("text")).first()
+    if not found["hashes"]:
         return None
-    return F.from_json(F.lit(found["text"]), points.schema["points"].dataType, exact)
+    return F.from_json(F.lit(found["text"]), points.schema["points"].dataType, exact), found["hashes"]
 
 
 def cut(
@@ -130,9 +134,10 @@ def cut(
     if CHUNK in df.columns:
         return df
     keys, order = list(keys), list(order)
-    cuts = _cut_points(df, keys, order, rows or chunk_rows(df.sparkSession))
-    if cuts is None:
+    found = _cut_points(df, keys, order, rows or chunk_rows(df.sparkSession))
+    if found is None:
         return df.select("*", F.lit(0).alias(CHUNK, metadata={UNCUT: True}), F.lit(False).alias(SPLIT))
+    cuts, hashes = found
     key = _key_of(keys)
 
     def place(points: Column) -> Column:
@@ -149,9 +154,10 @@ def cut(
         at = F.struct(key, F.struct(*order).alias("tick"))
         return _bound(_cuts_up_to(points, at), around)
 
-    marked = df.withColumn("_place", _bound(cuts, place))
-    return marked.withColumn(CHUNK, F.col("_place.chunk")).withColumn(
-        SPLIT, F.col("_place.split")
+    # The bisection costs a row far more than its key's hash does.
+    marked = df.withColumn("_place", F.when(F.xxhash64(key).isin(hashes), _bound(cuts, place)))
+    return marked.withColumn(CHUNK, F.coalesce("_place.chunk", F.lit(0))).withColumn(
+        SPLIT, F.coalesce("_place.split", F.lit(False))
     ).drop("_place")
 
 

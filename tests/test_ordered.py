@@ -134,3 +134,16 @@ def test_plans_stay_small_with_many_partitions(spark, skewed):
         assert len(twice._jdf.queryExecution().optimizedPlan().toString()) < 200_000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_only_rows_of_cut_keys_are_looked_up(skewed, capsys):
+    """The cut points' keys are told by their hashes, nulls too; a row of another key needs no bisection."""
+    _, hashes = ordered._cut_points(skewed, ["key"], ["t", "id"], 40)
+    out = cut(skewed, ["key"], ["t", "id"], 40)
+    rows = out.withColumn("h", F.xxhash64(F.struct("key"))).collect()
+    assert {r["h"] for r in rows if r["_split"]} == set(hashes)
+    assert {r["key"] for r in rows} > {r["key"] for r in rows if r["_split"]} >= {"hot"}
+    assert all(r["_chunk"] == 0 for r in rows if not r["_split"])
+    out.explain(True)
+    plan = capsys.readouterr().out
+    assert "CASE WHEN xxhash64(struct(key" in plan.split("Optimized Logical Plan")[1]
