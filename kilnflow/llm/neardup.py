@@ -3,10 +3,10 @@
 Shingles are five words. A shingle weighs more the more often its text has it and the rarer
 it is; document frequencies are counted over all texts in 2^20 hashed cells. Texts whose
 samples agree in a band meet under the band's key. Members of a key are first held against
-its first and its last member, which joins most copies. Texts of keys that still hold several
-components get more samples and many finer bands, each an order of samples: sorted by a
-band, a text's next neighbours of other components are those that agree with it longest, so
-the bands are as fine as a family is large. Links are verified by the exact weighted Jaccard
+its first and its last member, which joins most copies. In keys that still hold several
+components, every text is held against every text of another component: in blocks, each two
+of which are one task's group, by the shingles' weights. So no two texts that meet in a key
+are left out, whatever the key's size. Links are verified by the exact weighted Jaccard
 similarity of the whole texts, and the classes are the components of the verified links.
 """
 
@@ -37,16 +37,13 @@ CELLS = 1 << 20
 RARITY = 0.02
 RAREST = 1 / 1024
 
-#: Of the texts that are compared further: samples, bands made of them, samples in a band's
-#: order, and the neighbours on a side that a text is held against.
-MORE = 192
-FINER = 96
-DEPTH = 32
-NEXT = 2
-#: Neighbours agree in this part of a band's samples, which one band in thirty denies a pair of
-#: similarity 0.8, candidates in this part of all, four standard deviations below it.
-AGREE_IN_BAND = 0.68
-AGREE = 0.685
+#: Members and characters of an open key's block, about. Two blocks meet in one group of a task,
+#: which bounds its memory whatever the key's size.
+BLOCK = 192
+BLOCK_CHARS = 1 << 22
+#: Shingles whose weights are multiplied at once, and what rounding may take off a bound.
+_COLUMNS = 4096
+_SLACK = 1e-3
 
 #: Bits of the map that holds back texts without a candidate: 16 for each, within these bounds.
 FEWEST_BITS, MOST_BITS = 1 << 23, 1 << 31
@@ -258,99 +255,82 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.mapInArrow(task, "a binary, b binary")
 
 
-def sketches(texts: DataFrame, idf) -> DataFrame:
-    """``node``, ``root`` and ``sketch``, a byte of each of ``MORE`` further samples of the text."""
+def shingled(texts: DataFrame, idf) -> DataFrame:
+    """``node``, and the ``hashes`` and ``weights`` of its shingles, as bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sampler = WordHasher(), Sampler.seeded(2, MORE)
+        hasher = WordHasher()
         for batch in batches:
-            made = []
-            for _, words, offsets in hasher.pieces(batch.column(2)):
+            hashes, weighed = [], []
+            for _, words, offsets in hasher.pieces(batch.column(1)):
                 for a, b in zip(offsets[:-1], offsets[1:]):
                     found, times = shingles(words[a:b])
-                    drawn = sampler.samples(found, weights(found, times, idf.value))
-                    made.append((drawn >> np.uint64(24)).astype(np.uint8).tobytes())
+                    hashes.append(found.tobytes())
+                    weighed.append(weights(found, times, idf.value).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["node", "root", "sketch"]
+                [batch.column(0), pa.array(hashes, pa.binary()), pa.array(weighed, pa.binary())],
+                names=["node", "hashes", "weights"],
             )
 
-    return texts.select("node", "root", "text").mapInArrow(task, "node binary, root binary, sketch binary")
-
-
-def _halves(data: list[bytes]) -> np.ndarray:
-    """The half bytes of equally long bytes."""
-    whole = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
-    return np.concatenate([whole >> 4, whole & 15], 1)
+    return texts.select("node", "text").mapInArrow(task, "node binary, hashes binary, weights binary")
 
 
-def neighbours(sketched: DataFrame) -> DataFrame:
-    """Pairs (``a``, ``b``) of different roots that are neighbours in a finer band.
+def most_common(texts: list[tuple[np.ndarray, np.ndarray]], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """At least the common weight of each text of ``one`` and each of ``two`` (their numbers).
 
-    A band is an order of samples. Texts are sorted by the samples in that order, half a byte of
-    each, over all tasks; so many texts as share a band's first samples, only those next to each
-    other meet, and texts of one root that follow each other count as one. Of rows that a range's
-    end parts, other bands have the pair.
+    The lesser of two weights is their geometric mean at most, so a product of matrices bounds
+    the sums; it is exact where both texts have a shingle equally often.
     """
-
-    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(3)
-        bands = np.array([rng.permutation(MORE)[:DEPTH] for _ in range(FINER)])
-        for batch in batches:
-            # So many texts at a time that what they make stays small.
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                n = part.num_rows
-                drawn = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, MORE)
-                picked = drawn[:, bands] & 15
-                keys = (picked[:, :, ::2] << 4 | picked[:, :, 1::2]).reshape(n * FINER, DEPTH // 2)
-                again = pa.array(np.repeat(np.arange(n), FINER))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(FINER, dtype=np.int32), n)), pa.array([k.tobytes() for k in keys], pa.binary()),
-                     part.column(0).take(again), part.column(1).take(again)],
-                    names=["band", "key", "node", "root"],
-                )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, runs = None, []
-        for batch in batches:
-            pairs = []
-            for band, key, node, root in zip(*(c.to_pylist() for c in batch.columns)):
-                if band != now:
-                    now, runs = band, []
-                if runs and runs[-1][0] == root:
-                    runs[-1] = (root, key, node)
-                    continue
-                pairs += [(key, other, node, last) for r, other, last in runs if r != root]
-                runs = [*runs[1 - NEXT :], (root, key, node)] if NEXT > 1 else [(root, key, node)]
-            if pairs:
-                one, other, a, b = zip(*pairs)
-                near = (_halves(one) == _halves(other)).mean(1) >= AGREE_IN_BAND
-                both = [(min(x, y), max(x, y)) for x, y, n in zip(a, b, near) if n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[i] for p in both], pa.binary()) for i in (0, 1)], names=["a", "b"]
-                )
-
-    entries = sketched.mapInArrow(orders, "band int, key binary, node binary, root binary")
-    lined = entries.repartitionByRange("band", "key", "node").sortWithinPartitions("band", "key", "node")
-    return lined.mapInArrow(meet, "a binary, b binary").distinct()
-
-
-def alike(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree in ``AGREE`` of the samples or more."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, two = (
-                    np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, MORE) for i in (2, 3)
-                )
-                yield batch.select(["a", "b"]).filter(pa.array((one == two).mean(1) >= AGREE))
-
-    def named(end: str) -> DataFrame:
-        return sketched.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}"))
-
-    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "sketch_a", "sketch_b")
-    return both.mapInArrow(task, "a binary, b binary")
+    row = np.repeat(np.arange(len(texts)), [len(hashes) for hashes, _ in texts])
+    _, column, times = np.unique(np.concatenate([h for h, _ in texts]), return_inverse=True, return_counts=True)
+    root = np.sqrt(np.concatenate([w for _, w in texts]))
+    kept = times[column] > 1
+    row, root, column = row[kept], root[kept], (np.cumsum(times > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, root, column = row[order], root[order], column[order]
+    out = np.zeros((len(one), len(two)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + _COLUMNS))
+        part = np.zeros((len(texts), _COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - lo] = root[a:b]
+        out += part[one] @ part[two].T
+    return out
+
+
+def joining(group: pa.Table) -> pa.Table:
+    """Verified links that join the components of two blocks, or of one: no more than they have.
+
+    Takes ``i`` and ``j``, the blocks, and of each text ``first`` (it is of block ``i``), ``node``,
+    ``root``, ``hashes`` and ``weights``.
+    """
+    node, root = group.column("node").to_pylist(), group.column("root").to_pylist()
+    above = {r: r for r in root}
+    links: list[tuple[bytes, bytes]] = []
+    inside = group.column("i")[0] == group.column("j")[0]
+    first = np.array(group.column("first").to_pylist(), bool)
+    one, two = np.flatnonzero(first), np.flatnonzero(first if inside else ~first)
+
+    def top(r: bytes) -> bytes:
+        while above[r] != r:
+            above[r] = above[above[r]]
+            r = above[r]
+        return r
+
+    if len(above) > 1 and len(one) and len(two):
+        texts = [
+            (np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32))
+            for h, w in zip(group.column("hashes").to_pylist(), group.column("weights").to_pylist())
+        ]
+        whole = np.array([w.sum(dtype=np.float64) for _, w in texts])
+        common = most_common(texts, one, two)
+        near = common >= (SIMILARITY - _SLACK) * (whole[one][:, None] + whole[two][None, :] - common)
+        for x, y in zip(*np.nonzero(np.triu(near, 1) if inside else near)):
+            a, b = int(one[x]), int(two[y])
+            ends = top(root[a]), top(root[b])
+            if ends[0] != ends[1] and similarity(texts[a], texts[b]) >= SIMILARITY - 1e-9:
+                above[ends[0]] = ends[1]
+                links.append((node[a], node[b]))
+    return pa.table({end: pa.array([link[k] for link in links], pa.binary()) for k, end in enumerate("ab")})
 
 
 def among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -431,7 +411,7 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     second = staged(verified(rest, texts, idf), "second-links")
     joined = staged(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second), "joined")
     roots = components(joined)
-    third = _unsettled(met.select("key", "node"), roots, proposals, texts, idf)
+    third = _unsettled(met.select("key", "node"), roots, texts, idf)
     classes = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(third))
     labels = nodes.select("digest", "node").join(classes, "node", "left").select(
         "digest", "node", F.coalesce("root", "node").alias("root")
@@ -450,9 +430,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     First every text is held against one leader, the first of all its keys' members in a
     hashed order, then against the other ends of its keys that this has not joined. Every key
     is reduced by map-side minima and maxima, so a key that a third of the texts share costs
-    as many rows as it has texts. Texts of keys whose members are still in several components
-    meet their neighbours in ``FINER`` finer bands: as many rows as there are such texts,
-    times the bands, whatever the size of a family.
+    as many rows as it has texts. In keys whose members are still in several components all
+    pairs of different components are compared, ``BLOCK`` texts with as many at a time: a text
+    is shuffled once for every ``BLOCK`` texts of such a key. In a family whose texts are all
+    just below the threshold, that is the square of its size over ``BLOCK``.
     """
     rows, labels = _classified(docs)
     return rows.join(labels.select("digest", doc_id_of(F.col("root")).alias("class_id")), "digest").select(
@@ -460,24 +441,38 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _unsettled(
-    members: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFrame, idf
-) -> DataFrame:
+def _unsettled(members: DataFrame, roots: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """Verified links between texts of keys whose ``members`` are in several components.
 
-    ``tried`` are the pairs that are verified, or joined, already.
+    They join whatever components any pair of a key's members joins.
     """
+    sizes = texts.select("node", F.length("text").cast("long").alias("size"))
     member = staged(
-        members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")),
+        members.join(roots, "node", "left").join(sizes, "node").select(
+            "key", "node", F.coalesce("root", "node").alias("root"), "size"
+        ),
         "members",
     )
-    open_keys = member.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    open_keys = staged(open_keys.filter("least <> most").select("key"), "open-keys")
-    nodes = staged(member.join(open_keys, "key").select("node", "root").distinct(), "open-texts")
-    sketched = staged(sketches(nodes.join(texts, "node"), idf), "sketches")
-    known = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = staged(neighbours(sketched).join(known, ["a", "b"], "left_anti"), "neighbours")
-    return staged(verified(staged(alike(pairs, sketched), "alike"), texts, idf), "third-links")
+    # Keys with the same members are one: their number and two sums of hashes tell them.
+    same = {f"same{i}": F.bit_xor(F.xxhash64(F.lit(i), "node")) for i in (0, 1)}
+    of_key = member.groupBy("key").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"),
+        F.sum("size").alias("size"), *(total.alias(name) for name, total in same.items()),
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_CHARS))
+    open_keys = of_key.filter("least <> most").dropDuplicates(["n", *same])
+    open_keys = staged(open_keys.select("key", blocks.cast("int").alias("blocks")), "open-keys")
+    inside = staged(member.join(open_keys, "key").select("key", "node", "root", "blocks"), "open-members")
+    made = staged(shingled(inside.select("node").distinct().join(texts, "node"), idf), "open-shingles")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = inside.withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    tiles = dealt.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") <= F.col("other")).alias("first"), "node", "root",
+    ).join(made, "node")
+    return staged(tiles.groupBy("key", "i", "j").applyInArrow(joining, "a binary, b binary"), "third-links")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import compare
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -436,6 +437,58 @@ def test_links_of_a_family_just_below_the_threshold(spark):
     assert all(c in (i, i - 1) for i, c in out.items())
 
 
+def test_every_pair_of_a_family_is_compared(spark):
+    """All texts share keys and are just below the threshold, so nothing leads a text to its one partner."""
+    texts = family(400, 400, 0.80, 0.825)
+    grams = [set(words_of(t)) for t in texts]
+    assert len(grams[0] & grams[3]) / len(grams[0] | grams[3]) > 0.79
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.class_id for r in neardup.near_classes(docs).collect()}
+    assert [i for i in range(0, 400, 2) if not out[i + 1] == out[i] == i] == []
+
+
+def test_blocks_find_what_all_pairs_find(spark, monkeypatch):
+    """Blocks of a key, one with one, join the components that brute force joins, whatever their size."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(60):
+        n = int(rng.integers(3, 60))
+        hashes = np.sort(rng.choice(400 if i < 40 else 70, n, replace=False)).astype(np.uint64)
+        texts.append((hashes, rng.choice([1.0, 1.7, 2.1], n, p=[0.8, 0.1, 0.1]).astype(np.float32)))
+        texts.append((np.append(hashes[1:], hashes[0] + np.uint64(1000)), np.roll(texts[-1][1], -1)))
+    every = np.arange(len(texts))
+    monkeypatch.setattr(neardup, "_COLUMNS", 16)
+    common = neardup.most_common(texts, every, every)
+    alike = {(a, b) for a in every for b in every if a < b and neardup.similarity(texts[a], texts[b]) >= neardup.SIMILARITY}
+    for a, b in [(a, b) for a in every for b in every if a != b]:
+        w = {int(h): x for h, x in zip(*texts[a])}
+        least = sum(min(x, w[int(h)]) for h, x in zip(*texts[b]) if int(h) in w)
+        assert common[a, b] >= least - 1e-4
+
+    def classes(links):
+        over = {int(i): int(i) for i in every}
+        for a, b in links:
+            a, b = over[a], over[b]
+            over = {i: min(a, b) if r in (a, b) else r for i, r in over.items()}
+        return over
+
+    for blocks in (1, 3):
+        links = []
+        for i in range(blocks):
+            for j in range(i, blocks):
+                group = [k for k in every if k % blocks in (i, j)]
+                table = pa.table({
+                    "i": [i] * len(group), "j": [j] * len(group), "first": [bool(k % blocks == i) for k in group],
+                    "node": [b"%03d" % k for k in group], "root": [b"%03d" % k for k in group],
+                    "hashes": [texts[k][0].tobytes() for k in group], "weights": [texts[k][1].tobytes() for k in group],
+                })
+                found = neardup.joining(table).to_pylist()
+                assert len(found) < len(group)
+                links += [(int(r["a"]), int(r["b"])) for r in found]
+        assert {(min(x), max(x)) for x in links} <= {(int(a), int(b)) for a, b in alike}
+        assert classes(links) == classes([(int(a), int(b)) for a, b in alike]) and len(alike) > 20
+
+
 def test_near_copies_without_ids(spark):
     words = [f"w{i}" for i in range(200)]
     one, two = " ".join(words), " ".join(edited(words, 150, "other"))
