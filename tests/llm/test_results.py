@@ -447,6 +447,14 @@ def test_every_pair_of_a_family_is_compared(spark):
     assert [i for i in range(0, 400, 2) if not out[i + 1] == out[i] == i] == []
 
 
+def test_near_stage_drops_every_partner_of_a_family(spark):
+    """The pipeline's stage: one of each two stays, also where the other one has no id."""
+    rows = [(None if i % 4 == 1 else i, t) for i, t in enumerate(family(400, 400, 0.80, 0.825, seed=10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in out) == rows[::2]
+
+
 def test_blocks_find_what_all_pairs_find(spark, monkeypatch):
     """Blocks of a key, one with one, join the components that brute force joins, whatever their size."""
     rng = np.random.default_rng(4)
