@@ -210,6 +210,79 @@ def test_blocks_below_the_bound_are_not_scored(monkeypatch):
     assert [int(s[0]) for s in seen] == [2 * topk.BLOCK + 1]
 
 
+def by_hand(ids, vectors, every, k):
+    """Every query, a row of its own where ids repeat, with its best: scores below zero, ids."""
+    return [
+        (i, sorted((-s, j) for s, j in zip((vectors @ v).tolist(), ids.tolist()) if j != i)[:k])
+        for i, v in zip(ids.tolist(), vectors)
+        if i % every == 0
+    ]
+
+
+def test_queries_meet_many_vectors_in_one_product():
+    """Matrix products are counted: a query of its own for each pack and block made thousands."""
+    rng = np.random.default_rng(4)
+    vectors = np.floor(rng.normal(0, 32, (topk.PACK_ROWS, 64))).astype(np.int64)
+    pack = topk.pack_rows(np.arange(topk.PACK_ROWS), vectors, 50, 5)
+    asked = np.arange(0, 10**5, 50)
+    best = topk.Best(10**6 + asked, np.full(len(asked), 60_000), 5)
+    bound, reach = topk.scorer(best, np.floor(rng.normal(0, 32, (len(asked), 64))).astype(np.int64), pack)
+    made = []
+
+    def counted(some, part):
+        made.append((len(some), part.stop - part.start))
+        return reach(some, part)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "scorer", lambda *_: (bound, counted))
+        topk.search(best, best.ids, pack)
+    # As many products as blocks for each thousand of queries.
+    assert len(made) <= -(-len(asked) // topk.ROWS) * topk.PACK_ROWS // topk.BLOCK
+    assert sum(a * b for a, b in made) <= len(asked) * topk.PACK_ROWS
+
+
+@pytest.mark.parametrize("scale", [1, 30, 5000, 10**6, 10**8])
+def test_leading_terms_lose_no_vector(monkeypatch, scale):
+    rng = np.random.default_rng(5)
+    vectors = np.floor(rng.normal(0, scale, (3000, 24)) * np.linspace(2, 0.1, 24)).astype(np.int64)
+    vectors[::4] = vectors[0]
+    ids = rng.permutation(3000) // 2 * 2
+    monkeypatch.setattr(topk, "_leading", lambda a, b, least, now: 10)
+    packs = [topk.pack_rows(ids[c : c + 1000], vectors[c : c + 1000], 60, 5) for c in range(0, 3000, 1000)]
+    queries, asked, least, last = (np.concatenate([p[c] for p in packs]) for c in ("queries", "query_ids", "least", "last"))
+    best = topk.Best(asked, least, 5, last)
+    for p in packs:
+        topk.search(best, queries, p)
+    assert best.filled.all()
+    made = [(i, list(zip((-s).tolist(), f.tolist()))) for i, s, f in zip(asked.tolist(), best.scores, best.found)]
+    assert sorted(made) == sorted(by_hand(ids, vectors, 60, 5))
+
+
+def test_top_k_in_rounds_and_groups(spark, monkeypatch):
+    """A table that goes in two rounds over several groups and slots, with equal vectors and repeated ids."""
+    for name, value in {"ROUND_ROWS": 1, "FIRST": 2, "PACK_ROWS": 256, "GROUP_BYTES": 1 << 11}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(4000) // 2 * 2
+    vectors = rng.normal(0, 0.125, (4000, 8)).astype(np.float32)
+    vectors[::5] = vectors[0]
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, vectors)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 50, 5).collect()
+    hand = by_hand(ids, np.floor(vectors.astype(float) * 256).astype(np.int64), 50, 5)
+    expected = Counter((i, n, s, j) for i, best in hand for n, (s, j) in enumerate(best, 1))
+    assert len(hand) == 160 and Counter((r.query_id, r.rank, -r.score, r.vec_id) for r in out) == expected
+
+
+def test_quantised_batches_are_as_the_expressions(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [[1.0, -0.001], [], [nan], [None, 2.0], [inf], [1e300, -1e300, 1e-300], [2.0**55, -(2.0**55)], [0.3, 0.7, -0.7], [1.7e308]]
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    spelled = {r.vec_id: r.v for r in topk.quantised(table).collect()}
+    batches = table.select("vec_id", table.embedding.alias("x")).toArrow().to_batches()
+    made = {r["vec_id"]: r["v"] for b in batches for r in topk.quantised_batch(b).to_pylist()}
+    assert made == spelled and sorted(made) == [0, 1, 5, 6, 7, 8]
+
+
 def words_of(text):
     w = (text or "").lower().split()
     k = min(neardup.WORDS, len(w))
