@@ -118,6 +118,7 @@ class Best:
         self.least = least.copy()
         self.last = np.full(len(ids), _LAST) if last is None else last.copy()
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.many = 0
         self.asked: Asked | None = None
 
     def add(self, some: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> None:
@@ -127,7 +128,8 @@ class Best:
         open_ = (scores > least) | ((scores == least) & (found <= self.last[query]))
         open_ &= found != self.ids[query]
         self.waiting.append((query[open_], scores[open_], found[open_]))
-        if sum(len(w[0]) for w in self.waiting) > max(len(self.ids), 4096):
+        self.many += len(self.waiting[-1][0])
+        if self.many > max(len(self.ids), 4096):
             self.settle()
 
     def settle(self) -> None:
@@ -135,7 +137,7 @@ class Best:
         if not self.waiting:
             return
         query, scores, found = (np.concatenate(c) for c in zip(*self.waiting))
-        self.waiting = []
+        self.waiting, self.many = [], 0
         touched = np.zeros(len(self.ids), bool)
         touched[query] = True
         held, place = np.nonzero(self.filled & touched[:, None])
